@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import secrets
+from inkwell.llm import secrets, tokens
 from inkwell.llm.common import table
 
 
@@ -14,8 +14,23 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where the installation keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan,)}
+    return {f.__name__: f for f in (op5_secret_scan, op8_token_count, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
