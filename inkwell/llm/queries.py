@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import secrets, tokens
+from inkwell.llm import licenses, secrets, tokens
 from inkwell.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """Where the installation keeps a public vocabulary file."""
     import public_tokenizers
@@ -30,7 +34,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan, op8_token_count, op9_bpe_codec)}
+    return {f.__name__: f for f in (op5_secret_scan, op7_license_scan, op8_token_count, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
