@@ -153,6 +153,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, starts, size = joined(column)
     if int((data == 0).sum()) != len(starts):
         return _word_hashes_plain(column)
+    begin, end, words = word_places(data)
+    offsets = np.searchsorted(begin, np.append(starts, len(data)))
+    return words, offsets.astype(np.int64)
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the buffer begins and ends (zero bytes part words too), and its 64-bit hash."""
     low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     space = _SPACE[low]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -164,9 +171,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sums[0] = 0
         np.cumsum(_MIX[low] * _power_table("up", _R, len(low)), out=sums[1:])
         raw = (sums[end] - sums[begin]) * _power_table("down", _R_INV, len(low) + 1)[begin]
-        words = finalised(raw + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    offsets = np.searchsorted(begin, np.append(starts, len(data)))
-    return words, offsets.astype(np.int64)
+        return begin, end, finalised(raw + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _word_hashes_plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -214,3 +219,11 @@ def distinct_sorted(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     keep[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     h, g = h[keep], g[keep]
     return h, np.searchsorted(g, np.arange(len(at)))
+
+
+def span_report(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, and all spans as text, from (doc_id, found)."""
+    line = lambda col: F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    own = F.filter("found", lambda x: x["kind"].isin(*base))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(line(own), 256).alias("base_sha256"), line(F.col("found")).alias("spans"))

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import licenses, secrets, tokens
+from inkwell.llm import licenses, pii, secrets, tokens
 from inkwell.llm.common import table
 
 
+def op1_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan, op7_license_scan, op8_token_count, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_pii_field, op5_secret_scan, op7_license_scan, op8_token_count, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm import automaton
-from inkwell.llm.common import joined, map_texts
+from inkwell.llm.common import joined, map_texts, span_report
 
 
 @dataclass(frozen=True)
@@ -186,10 +186,4 @@ def _replaced(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 
 def report(df: DataFrame) -> DataFrame:
     """The digest columns of the registered query, from the operator's spans."""
-    from pyspark.sql import functions as F
-
-    found = scan_secrets(df)
-    line = lambda col: F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in BASE]))
-    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
-    return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"))
+    return span_report(scan_secrets(df), tuple(r.kind for r in BASE))
