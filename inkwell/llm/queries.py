@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import contamination, licenses, pii, quality, secrets, tokens
+from inkwell.llm import contamination, licenses, neardup, pii, quality, secrets, tokens
 from inkwell.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_field, op5_secret_scan, op6_quality_score, op7_license_scan, op8_token_count, op9_bpe_codec, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii_field, op4_near_duplicates, op5_secret_scan, op6_quality_score, op7_license_scan, op8_token_count, op9_bpe_codec, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": contamination.ORACLE_SQL}
+    return {"op4_near_duplicates": neardup.ORACLE_SQL, "op10_decontamination": contamination.ORACLE_SQL}
