@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import contamination, licenses, neardup, pii, quality, secrets, tokens
+from inkwell.llm import ann, contamination, licenses, neardup, pii, quality, secrets, tokens
 from inkwell.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_field, op4_near_duplicates, op5_secret_scan, op6_quality_score, op7_license_scan, op8_token_count, op9_bpe_codec, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii_field, op2_multiprobe_neighbours, op4_near_duplicates, op5_secret_scan, op6_quality_score, op7_license_scan, op8_token_count, op9_bpe_codec, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
