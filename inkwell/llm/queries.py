@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import ann, contamination, licenses, neardup, pii, quality, secrets, tokens
+from inkwell.llm import ann, contamination, licenses, lm, neardup, pii, quality, secrets, tokens
 from inkwell.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_field, op2_multiprobe_neighbours, op4_near_duplicates, op5_secret_scan, op6_quality_score, op7_license_scan, op8_token_count, op9_bpe_codec, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii_field, op2_multiprobe_neighbours, op3_lm_score, op4_near_duplicates, op5_secret_scan, op6_quality_score, op7_license_scan, op8_token_count, op9_bpe_codec, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

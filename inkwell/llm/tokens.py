@@ -12,6 +12,7 @@ import json
 import unicodedata
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -371,30 +372,49 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row: the token ids of its whole text; none for an empty or null text."""
-    encoder(path)
+def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    encoder(path)  # fails here, not on the executors, if the file is missing
 
     def fn(batch: pa.RecordBatch) -> dict:
-        encode = encoder(path).encode
-        return {"doc_id": batch.column(0), "ids": [encode(t) for t in texts_of(batch.column(1))]}
+        enc = encoder(path)
+        n, ids, digests, decoded = [], [], [], []
+        for text in texts_of(batch.column(1)):
+            found = enc.entries(text)
+            a, b, c = zip(*found) if found else ((), (), ())
+            line = " ".join(b)
+            n.append(sum(a))
+            digests.append(hashlib.sha256(line.encode("ascii")).hexdigest())
+            decoded.append(hashlib.sha256(" ".join(c).encode("utf-8")).hexdigest())
+            if with_ids:
+                ids.append(np.array(line.split(), dtype=np.int32))
+        out = {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": digests, "decoded_sha256": decoded}
+        return out | ({"ids": ids} if with_ids else {})
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_texts(df, [df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")], schema, fn)
+
 
-    return map_texts(df, [df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")], "doc_id long, ids array<int>", fn)
+def encode_with_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row; no ids for an empty or null text."""
+    return _encoded(df, path, id_col, text_col, True)
 
 
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, without carrying the ids of long texts around."""
+    return _encoded(df, path, id_col, text_col, False)
+
+
+def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, decoded) of every row from its token ids; null ids count as none."""
     encoder(path)
 
     def fn(batch: pa.RecordBatch) -> dict:
-        enc = encoder(path)
-        n, ids, decoded = [], [], []
-        for text in texts_of(batch.column(1)):
-            found = enc.entries(text)
-            a, b, c = zip(*found) if found else ((), (), ())
-            n.append(sum(a))
-            ids.append(hashlib.sha256(" ".join(b).encode("ascii")).hexdigest())
-            decoded.append(hashlib.sha256(" ".join(c).encode("utf-8")).hexdigest())
-        return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
+        decode = encoder(path).decode
+        return {"doc_id": batch.column(0), "decoded": [decode(x or []) for x in batch.column(1).to_pylist()]}
+
+    def run(batches):
+        for b in batches:
+            out = fn(b)
+            yield pa.RecordBatch.from_arrays([out["doc_id"], pa.array(out["decoded"], pa.string())], names=["doc_id", "decoded"])
 
-    return map_texts(df, [df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", fn)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, "doc_id long, decoded string")
