@@ -7,10 +7,12 @@ documents branches: the path's hash chooses one or two places (1 / 0.85 on avera
 value there. Two documents with a similarity of 0.85 meet at least once in expectation on every level. Small nodes are
 compared exhaustively by signature, and pairs that look similar are confirmed on their full sets:
 
-1. first each document with its best earlier partner in the node, which joins large groups of copies by few pairs;
-2. then all pairs of a node that are not in one component yet (other pairs can't change a component);
+1. first each document with its best earlier partner and with the node's middle, the member that is most like all others,
+   which joins large groups of copies by few pairs;
+2. then all pairs of a node that are not in one component yet (other pairs can't change a component), by longer signatures
+   of the documents in such nodes;
 3. nodes that are still large after ``DEPTH`` levels are cut into pieces that share two members; afterwards every member
-   outside the node's largest component is compared with all members.
+   outside the node's largest component is compared with all members, block by block.
 
 No row, pair or node is dropped or capped. Null and empty texts have an empty set and are linked with nothing; rows with a
 null id are linked with nothing and get a null component; rows that repeat an id count as one document.
@@ -29,29 +31,36 @@ from inkwell.llm.common import distinct_sorted, finalised, map_texts, shingle_ha
 from inkwell.llm.components import components
 
 PLACES = 64
+#: Places of the signatures that the second and third step compare.
+LONG = 256
 TREES = 12
 SMALL = 96
 DEPTH = 8
 #: 1 / 0.85 - 1: the chance of a second place.
 SECOND = 0.1765
-#: Share of agreeing places below which a pair isn't confirmed: 3.4 standard deviations under 0.85.
-LIKELY = 0.70
-_SCALE = np.random.default_rng(17).integers(1, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A pair is confirmed if its agreeing places are at most so many standard deviations under 0.85.
+SURE = 3.4
+_SCALE = np.random.default_rng(17).integers(1, 1 << 62, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: size of its shingle set, two hashes of the set, and its signature (one row of PLACES)."""
+def likely(places: int) -> int:
+    """Agreeing places from which a pair may have a similarity of 0.85: 45 of 64, 198 of 256."""
+    return int(np.ceil(places * (0.85 - SURE * np.sqrt(0.85 * 0.15 / places))))
+
+
+def sketches(column: pa.Array, places: int = PLACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: size of its shingle set, two hashes of the set, and its signature (one row of ``places``)."""
     hashes, at = distinct_sorted(*shingle_hashes(column))
     size = np.diff(at)
     some = size > 0
     first, second = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-    signature = np.zeros((len(size), PLACES), dtype=np.uint32)
+    signature = np.zeros((len(size), places), dtype=np.uint32)
     if some.any():
         begin = at[:-1][some]
         with np.errstate(over="ignore"):
             first[some] = np.add.reduceat(hashes, begin)
             second[some] = np.add.reduceat(finalised(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
-            for k in range(PLACES):
+            for k in range(places):
                 low = np.minimum.reduceat(hashes * _SCALE[k], begin)
                 signature[some, k] = (finalised(low) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return size, first, second, signature
@@ -63,7 +72,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, PLACES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), -1)
 
 
 def sketch_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,6 +83,15 @@ def sketch_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_texts(df, [df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")], "doc_id long, n_shingles long, f1 long, f2 long, signature binary", fn)
 
 
+def _long_signatures(texts: DataFrame) -> DataFrame:
+    """(doc, signature) of LONG places; one row for each id."""
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        return {"doc": batch.column(0), "signature": _binary(sketches(batch.column(1), LONG)[3])}
+
+    return map_texts(texts, ["doc", "text"], "doc long, signature binary", fn).groupBy("doc").agg(F.first("signature").alias("signature"))
+
+
 # ---- paths ----------------------------------------------------------------------------------------------------
 
 
@@ -180,19 +198,20 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signature: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a node that look similar: with ``every`` all of different labels, else each document's best earlier partner."""
+    """Pairs of a node that look similar: with ``every`` all of different labels, else each document's best earlier partner and the node's middle."""
     first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     size = np.diff(np.append(first, len(node)))
-    least = int(np.ceil(LIKELY * PLACES))
+    places = signature.shape[1]
+    least = likely(places)
     left, right = [], []
     for s in np.unique(size[size > 1]).tolist():
         begin = first[size == s]
-        step = max(1, (1 << 22) // (s * s * PLACES))
+        step = max(1, (1 << 16) // (s * s))
         for at in range(0, len(begin), step):
             place = begin[at : at + step, None] + np.arange(s)
             x = signature[place]
             same = np.zeros((len(place), s, s), dtype=np.int16)
-            for k in range(0, PLACES, 16):
+            for k in range(0, places, 16):
                 same += (x[:, :, None, k : k + 16] == x[:, None, :, k : k + 16]).sum(3, dtype=np.int16)
             same[:, np.arange(s)[:, None] <= np.arange(s)[None, :]] = 0  # keeps (later, earlier)
             if every:
@@ -202,6 +221,11 @@ def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signatur
                 best = same.argmax(2)
                 g, i = np.nonzero(np.take_along_axis(same, best[..., None], 2)[..., 0] >= least)
                 j = best[g, i]
+                if s > 2:  # and with the node's middle, the member that is most like all others
+                    both = same + same.transpose(0, 2, 1)
+                    middle = both.sum(2).argmax(1)
+                    h, k = np.nonzero(np.take_along_axis(both, middle[:, None, None], 2)[..., 0] >= least)
+                    g, i, j = np.concatenate((g, h)), np.concatenate((i, k)), np.concatenate((j, middle[h]))
             left.append(doc[place[g, i]])
             right.append(doc[place[g, j]])
     if not left:
@@ -225,26 +249,29 @@ def compare(members: DataFrame, marked: DataFrame, every: bool) -> DataFrame:
 
 
 def _rest(large: DataFrame, marked: DataFrame) -> DataFrame:
-    """Pairs between members of a large node outside its largest component and all its members of other components."""
-    rows = large.select("node", "doc").join(marked, "doc")
-    often = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    often = stored(often, "mains")
-    odd = rows.join(often, "node").where("label <> main")
-    blocks = odd.groupBy("node", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / 64).cast("long")).alias("block")).agg(F.collect_list("doc").alias("docs"), F.collect_list("label").alias("labels"), F.collect_list("signature").alias("signatures"))
-    least = int(np.ceil(LIKELY * PLACES))
+    """Pairs between members of a large node outside its largest component and all its members of other components.
+
+    Members meet in blocks of about 64 (of documents by hash): a row holds two blocks, not two documents."""
+    rows = large.select("node", "doc", "n").join(marked, "doc")
+    often = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / 64).cast("long"))
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("doc", "label", "signature")).alias(name)).select("node", name)
+
+    odd = packed(rows.join(stored(often, "mains"), "node").where("label <> main"), "odd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = [], []
-            for doc, label, signature, docs, labels, signatures in zip(*(x.to_pylist() for x in b.columns)):
-                x = np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(-1, PLACES)
-                near = ((x == np.frombuffer(signature, dtype=np.uint32)).sum(1) >= least) & (np.array(labels) != label)
-                for i in np.flatnonzero(near).tolist():
-                    a.append(min(doc, docs[i]))
-                    c.append(max(doc, docs[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            for one, two in zip(b.column(0), b.column(1)):
+                (d, k, x), (e, m, y) = ((v.field(0).to_numpy(), v.field(1).to_numpy(), _signatures(v.field(2))) for v in (one.values, two.values))
+                same = np.zeros((len(d), len(e)), dtype=np.int32)
+                for at in range(0, x.shape[1], 16):
+                    same += (x[:, None, at : at + 16] == y[None, :, at : at + 16]).sum(2, dtype=np.int32)
+                i, j = np.nonzero((same >= likely(x.shape[1])) & (k[:, None] != m[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[i], e[j])), pa.array(np.maximum(d[i], e[j]))], names=["a", "b"])
 
-    return rows.join(blocks, "node").select("doc", "label", "signature", "docs", "labels", "signatures").mapInArrow(run, "a long, b long").distinct()
+    return packed(rows, "all").join(odd, "node").select("odd", "all").mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- confirming -----------------------------------------------------------------------------------------------
@@ -299,19 +326,22 @@ def near_duplicates(df: DataFrame, percent: int = 85, trees: int = TREES, id_col
     links = stored(confirmed(first, texts, percent), "links")
     labels = components(links)
 
-    def marked(now: DataFrame) -> DataFrame:
-        return standing.join(now.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"), "signature")
+    known = standing.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
+    groups = members.unionByName(large.select("node", "doc")) if hard else members
+    mixed = groups.join(known, "doc").groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
+    mixed = stored(mixed, "mixed")
+    open_ = members.join(mixed, "node", "left_semi")
+    asked = groups.join(mixed, "node", "left_semi").select("doc").distinct()
+    longer = stored(_long_signatures(texts.join(asked, "doc", "left_semi")), "longer")
 
-    known = marked(labels)
-    mixed = members.join(known.select("doc", "label"), "doc").groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
-    second = stored(compare(members.join(mixed, "node", "left_semi"), known, every=True).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(compare(open_, known.join(longer, "doc"), every=True).join(first, ["a", "b"], "left_anti"), "pairs")
     more = stored(confirmed(second, texts, percent), "links")
-    grown = more.limit(1).count() > 0
-    if grown:
+    if more.limit(1).count() > 0:
         links = links.unionByName(more)
         labels = components(links)
+        known = standing.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
     if hard:
-        third = stored(_rest(large, marked(labels)).join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
+        third = stored(_rest(large.join(mixed, "node", "left_semi"), known.join(longer, "doc")).join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
         more = stored(confirmed(third, texts, percent), "links")
         if more.limit(1).count() > 0:
             labels = components(links.unionByName(more))
