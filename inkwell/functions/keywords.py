@@ -30,10 +30,6 @@ def phrases(tokens: Column, weight: float) -> Column:
     return F.concat(*map(of_length, (1, 2, 3)))
 
 
-def weighted_phrases(title: Column, body: Column) -> Column:
-    return F.concat(phrases(words(title), 4.0), phrases(words(body), 1.0))
-
-
 def ranked(scored: Column) -> Column:
     """Sorted by score, then more words, then the phrase; of struct(phrase, score)."""
     spaces = lambda p: F.size(F.split(p, " "))
@@ -59,8 +55,11 @@ def chosen(candidates: Column, limit: int = 8) -> Column:
 
 
 def totals(df, id_col: str, title: str, body: str):
-    """(id, phrase, score): summed by document and phrase, three decimals, phrases of four characters and more."""
-    rows = df.select(id_col, F.explode(weighted_phrases(F.col(title), F.col(body))).alias("x")).where(F.char_length("x.phrase") >= 4)
+    """(id, phrase, score): summed by document and phrase, three decimals, phrases of four characters and more.
+
+    Words are a column of their own first: inside a lambda the whole expression would be evaluated for each run."""
+    split = df.select(id_col, words(F.col(title)).alias("_t"), words(F.col(body)).alias("_b"))
+    rows = split.select(id_col, F.explode(F.concat(phrases(F.col("_t"), 4.0), phrases(F.col("_b"), 1.0))).alias("x")).where(F.char_length("x.phrase") >= 4)
     return rows.groupBy(id_col, F.col("x.phrase").alias("phrase")).agg(round_to(F.sum("x.w"), 3).alias("score"))
 
 

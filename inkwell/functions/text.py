@@ -106,9 +106,10 @@ def entry_text(title: Column, content: Column, source: Column, category: Column)
     return strip(F.concat_ws("\n", title, title, content, F.concat(source, F.lit(" "), category)))
 
 
-def lexical(title: Column, content: Column, interests: list[str]) -> Column:
-    """struct(best, matched): per interest, the share of its terms found (a title term counts twice as much)."""
-    in_title, in_content = tokens(title), tokens(content)
+def lexical(in_title: Column, in_content: Column, interests: list[str]) -> Column:
+    """struct(best, matched): per interest, the share of its terms found (a title term counts twice as much).
+
+    Takes token columns, made beforehand: inside a lambda an expression would be evaluated for each term."""
     rows = []
     for interest in interests:
         own = unique_tokens(F.lit(interest))

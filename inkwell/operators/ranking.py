@@ -107,8 +107,9 @@ def scored(entries: DataFrame, profile: Profile, sims: DataFrame, ratios: DataFr
 
     ``has``: which of the query texts aren't empty; others count zero. ``entries`` has id, source_id, title, content, entry_text."""
     d = lambda c: tx.round_to(c, 4).cast("decimal(12,4)")
-    rows = entries.join(sims, "id").join(ratios, "source_id", "left")
-    lex = tx.lexical(F.col("title"), F.col("content"), list(profile.interests))
+    rows = entries.join(sims, "id").join(ratios, "source_id", "left").withColumns({"_t": tx.unique_tokens(F.col("title")), "_c": tx.unique_tokens(F.col("content"))})
+    rows = rows.withColumn("_lex", tx.lexical(F.col("_t"), F.col("_c"), list(profile.interests)))
+    lex = F.col("_lex")
     sim = lambda k: F.col(k) if has.get(k, False) else F.lit(0.0)
     margin = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sim("positive") - sim("negative")))
     included = F.size(tx.matching_phrases(F.col("entry_text"), list(profile.include)))

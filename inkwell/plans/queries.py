@@ -603,7 +603,8 @@ def _lexical_sql() -> str:
 
 @query(_lexical_sql())
 def lexical(d: Domain) -> DataFrame:
-    return d.entries.select("id", F.round(tx.lexical(F.col("title"), F.col("content"), INTERESTS)["best"], 6).alias("best"))
+    rows = d.entries.select("id", tx.unique_tokens(F.col("title")).alias("t"), tx.unique_tokens(F.col("content")).alias("c"))
+    return rows.select("id", F.round(tx.lexical(F.col("t"), F.col("c"), INTERESTS)["best"], 6).alias("best"))
 
 
 _KSTOPS = ", ".join(f"'{w}'" for w in keywords.STOP_WORDS)
