@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one vectorised step holds (a single longer text is a step of its own).
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +34,14 @@ _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context.isDefined():
-            return context.get()
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         import tempfile
 
-        found = tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="inkwell-"))
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -67,13 +67,27 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The words of the highest counts, KNOWN of them at most: counts are binned (64 bins for each doubling), and the bins
+    are added up from the top, so that a task sends a few bins to the driver, not its own KNOWN best words."""
+    size = F.floor(F.log2(F.col("n")) * 64)
+    bins = counts.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect()
+    total, least = 0, None
+    for r in sorted(bins, key=lambda r: -r.bin):
+        total += r.words
+        if total > KNOWN:
+            break
+        least = r.bin
+    return counts.where(size >= least) if least is not None else counts.where("false")
+
+
 class Vocabulary:
     """The frequent words with their counts, and what the model needs to know of all others."""
 
     def __init__(self, counts: DataFrame) -> None:
         total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.n, self.v = total.n or 0, total.v
-        top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+        top = sorted(_frequent(counts).collect(), key=lambda r: (-r.n, bytes(r.word)))  # at most KNOWN rows
         self.words = [bytes(r.word) for r in top]
         self.counts = np.array([r.n for r in top], dtype=np.float64)
         self.spread = np.log10(self.n + SMOOTH * (self.v + 1))

@@ -33,9 +33,9 @@ from inkwell.llm.components import components
 PLACES = 64
 #: Places of the signatures that the second and third step compare.
 LONG = 256
-TREES = 12
-SMALL = 96
-DEPTH = 8
+TREES = 10
+SMALL = 128
+DEPTH = 4
 #: 1 / 0.85 - 1: the chance of a second place.
 SECOND = 0.1765
 #: A pair is confirmed if its agreeing places are at most so many standard deviations under 0.85.
@@ -197,13 +197,13 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
     return t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), _signatures(t.column(3))
 
 
-def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signature: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a node that look similar: with ``every`` all of different labels, else each document's best earlier partner and the node's middle."""
+def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signature: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, a, b) of pairs that look similar: with ``every`` all of different labels, else each document's best earlier partner and the node's middle."""
     first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     size = np.diff(np.append(first, len(node)))
     places = signature.shape[1]
     least = likely(places)
-    left, right = [], []
+    where, left, right = [], [], []
     for s in np.unique(size[size > 1]).tolist():
         begin = first[size == s]
         step = max(1, (1 << 16) // (s * s))
@@ -226,26 +226,29 @@ def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signatur
                     middle = both.sum(2).argmax(1)
                     h, k = np.nonzero(np.take_along_axis(both, middle[:, None, None], 2)[..., 0] >= least)
                     g, i, j = np.concatenate((g, h)), np.concatenate((i, k)), np.concatenate((j, middle[h]))
+            where.append(node[place[g, 0]])
             left.append(doc[place[g, i]])
             right.append(doc[place[g, j]])
     if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.concatenate(where), np.minimum(a, b), np.maximum(a, b)
 
 
 def compare(members: DataFrame, marked: DataFrame, every: bool) -> DataFrame:
-    """Distinct (a, b) pairs to confirm within the nodes of ``members`` (node, doc); ``marked`` has doc, label, signature."""
+    """(node, a, b): pairs to confirm within the nodes of ``members`` (node, doc); ``marked`` has doc, label, signature.
+
+    A node that holds any similar pair gives a row at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            a, b = similar_pairs(*group, every)
+            node, a, b = similar_pairs(*group, every)
             differ = a != b
-            seen = np.unique(np.column_stack((a[differ], b[differ])), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
+            seen = np.unique(np.column_stack((node[differ], a[differ], b[differ])), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, i]) for i in range(3)], names=["node", "a", "b"])
 
     rows = members.join(marked, "doc").select("node", "doc", "label", "signature")
-    return rows.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "node long, a long, b long")
 
 
 def _rest(large: DataFrame, marked: DataFrame) -> DataFrame:
@@ -322,19 +325,21 @@ def near_duplicates(df: DataFrame, percent: int = 85, trees: int = TREES, id_col
     members = stored(small.unionByName(_pieces(large)) if hard else small, "members")
 
     unmarked = standing.withColumn("label", F.col("doc"))
-    first = stored(compare(members, unmarked, every=False), "pairs")
+    found = stored(compare(members, unmarked, every=False), "found")
+    first = stored(found.select("a", "b").distinct(), "pairs")
     links = stored(confirmed(first, texts, percent), "links")
     labels = components(links)
 
     known = standing.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
-    groups = members.unionByName(large.select("node", "doc")) if hard else members
+    near = members.join(stored(found.select("node").distinct(), "near"), "node", "left_semi")  # others hold no similar pair
+    groups = near.unionByName(large.select("node", "doc")) if hard else near
     mixed = groups.join(known, "doc").groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
     mixed = stored(mixed, "mixed")
-    open_ = members.join(mixed, "node", "left_semi")
+    open_ = near.join(mixed, "node", "left_semi")
     asked = groups.join(mixed, "node", "left_semi").select("doc").distinct()
     longer = stored(_long_signatures(texts.join(asked, "doc", "left_semi")), "longer")
 
-    second = stored(compare(open_, known.join(longer, "doc"), every=True).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(compare(open_, known.join(longer, "doc"), every=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = stored(confirmed(second, texts, percent), "links")
     if more.limit(1).count() > 0:
         links = links.unionByName(more)

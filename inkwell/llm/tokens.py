@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from inkwell.llm.common import map_texts, texts_of
 
-#: Words that a worker remembers before it starts anew (a bound on memory, not on results).
-MEMO = 400_000
+#: Words of one generation of a worker's memory (a bound on memory, not on results).
+MEMO = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -35,16 +35,21 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """word -> value, made by ``make`` when first met; forgets all when it holds MEMO words."""
+    """word -> value, made by ``make`` when first met. When it is full it starts anew, and words that come again are taken
+    from the generation before, so that frequent words stay and no more than two generations are held."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        self[word] = value
         return value
 
 
@@ -84,9 +89,7 @@ class Counter:
                     pass  # part of a character: never a pre-token
         self.split = regex.compile(SPLIT).findall
         self.parts = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
-        self.known = Memo(lambda word: self.merged(word.encode("utf-8")))
-        self.known.update(self.whole)
-        self.fixed = len(self.known)
+        self.known = Memo(lambda word: self.whole.get(word) or self.merged(word.encode("utf-8")))
 
     def merged(self, piece: bytes) -> int:
         """How many tokens the merges leave of one pre-token; long ones through a heap, so that time stays near linear."""
@@ -111,9 +114,6 @@ class Counter:
 
     def count(self, text: str) -> int:
         known = self.known
-        if len(known) > self.fixed + MEMO:
-            known.clear()
-            known.update(self.whole)
         if "<|" not in text or self.parts is None:
             return sum(map(known.__getitem__, self.split(text)))
         pieces = self.parts(text)
@@ -258,7 +258,7 @@ class Encoder:
         key = (a, b)
         found = self.fit.get(key)
         if found is None:
-            if len(self.fit) > 2 * MEMO:
+            if len(self.fit) > MEMO:
                 self.fit.clear()
             found = self.fit[key] = self._fits(a, b)
         return found
