@@ -10,6 +10,7 @@ from inkwell.functions.text import strip
 # Query keys that only track, besides those that begin with utm_.
 TRACKING = "fbclid gclid dclid msclkid mc_cid mc_eid vero_conv vero_id oly_anon_id oly_enc_id".split()
 _WHOLE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_PORT = r"(?s)^(?:.*@)?(?:[^\]@]*\][^:]*:(.*)|[^:\]@]*:([^:\]]*))$"
 _HOST_PORT = r"(?s)^(?:.*@)?(?:\[([^\]]*)\]|([^:]*))"
 
 
@@ -33,15 +34,13 @@ def hostname(netloc: Column) -> Column:
 
 def port_text(netloc: Column) -> Column:
     """What stands after the host's colon; '' for none and for a bare literal with several colons."""
-    own = F.regexp_replace(netloc, r"(?s)^.*@", "")
-    bare = F.when(own.contains("]"), F.regexp_replace(own, r"(?s)^[^\]]*\]", "")).when(F.length(own) - F.length(F.replace(own, F.lit(":"), F.lit(""))) > 1, F.lit("")).otherwise(own)
-    return F.regexp_extract(bare, r"(?s):(.*)$", 1)
+    return F.concat(F.regexp_extract(netloc, _PORT, 1), F.regexp_extract(netloc, _PORT, 2))
 
 
 def port(netloc: Column) -> Column:
     """The explicit port; null for none; -1 for one that is no number from 0 to 65535."""
     text = port_text(netloc)
-    number = F.try_to_number(F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), F.regexp_replace(text, r"^\+", "")), F.lit("S999999999")).cast("int")
+    number = F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), text.cast("int"))
     return F.when(text == "", F.lit(None).cast("int")).when(number.between(0, 65535), number).otherwise(F.lit(-1))
 
 
