@@ -166,7 +166,7 @@ def bucketed(rows: DataFrame, threshold: Column | float) -> DataFrame:
 
 @dataclass
 class Rescore:
-    """One run over a kind's entries: rankings, the threshold and how it came about."""
+    """One run over a kind's entries: rankings (cached; unpersist them when written), the threshold and how it came about."""
 
     rankings: DataFrame
     threshold: float
@@ -193,7 +193,7 @@ def rescore(entries: DataFrame, profile: Profile, feedback: DataFrame, embed=Non
     if sims is None:
         sims = similarities(own, texts)
     has = {k: v != PLACEHOLDER for k, v in texts.items()}
-    rows = scored(own, profile, sims, source_ratio(recent, own), has)
+    rows = scored(own, profile, sims, source_ratio(recent, own), has).persist()  # read by the threshold's queries and the result
     threshold, reason = choose_threshold(rows, profile, feedback)
     ranks = bucketed(rows, threshold).withColumn("profile_id", F.lit(profile.id)).withColumnRenamed("id", "entry_id")
     return Rescore(ranks, threshold, reason, used, problems)
