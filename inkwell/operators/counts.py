@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from inkwell.schema import BUCKETS, KINDS, STATUSES
 
 
-def _values(df: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
-    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
-
-
 def dense_counts(df: DataFrame, **values: tuple[str, ...]) -> DataFrame:
     """Counts by the named columns with a zero for every combination of the given values that doesn't occur."""
-    grid = None
+    grid = df.sparkSession.range(1)
     for name, allowed in values.items():
-        one = _values(df, name, allowed)
-        grid = one if grid is None else grid.crossJoin(one)  # enumerations only: a handful of rows
+        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, allowed))))
     n = df.groupBy(*values).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(n, list(values), "left").select(*values, F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -118,10 +118,9 @@ _WINDOW = """, now AS (SELECT max(ts) AS t FROM events), items AS (
 @query(_WINDOW + "SELECT source_id, guid FROM items, now WHERE kind = 'paper' OR ts >= t - INTERVAL 30 DAY")
 def bootstrap_window(d: Domain) -> DataFrame:
     items = _items(d)
-    now = items.agg(F.max("published").alias("now"))
-    rows = items.crossJoin(now)  # one row
+    now = items.agg(F.max("published")).first()[0]  # one value
     empty = items.where("false").select("source_id", "guid")
-    return filters.admitted(rows, empty, F.lit(True), F.col("now")).select("source_id", "guid")
+    return filters.admitted(items, empty, F.lit(True), F.lit(now)).select("source_id", "guid")
 
 
 @query(_WINDOW + "SELECT source_id, guid FROM items WHERE kind = 'paper' OR CAST(substr(guid, 2) AS BIGINT) % 4 <> 0")

@@ -84,3 +84,13 @@ def test_rounding(spark):
     df = spark.createDataFrame([(1.00005,), (-0.00001,), (2.5,)], "x double")
     assert [r.r for r in df.select(tx.round_to(F.col("x"), 4).alias("r")).collect()][1:] == [0.0, 2.5]
     assert str(df.select(tx.round_to(F.lit(-0.00001), 4).alias("r")).first().r) == "0.0"
+
+
+def test_vectors_and_labels(spark):
+    from inkwell.functions import vectors
+
+    df = spark.createDataFrame([([1.0, -0.5],), (None,), ([],)], "v array<float>")
+    assert [r.r for r in df.select(vectors.unpack(vectors.pack("v")).alias("r")).collect()] == [[1.0, -0.5], None, []]
+    assert df.select(vectors.unpack(F.lit(b"abc")).alias("r")).first().r is None
+    assert mapped(spark, ["two_words-more", ""], ids.sentence_case) == ["Two words more", ""]
+    assert mapped(spark, ["2101.00001", None], ids.arxiv_pdf) == ["https://arxiv.org/pdf/2101.00001", None]
