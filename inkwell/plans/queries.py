@@ -109,7 +109,7 @@ def _skips(d: Domain) -> DataFrame:
     return _items(d).where("crc32(guid) % 4 = 0").select("source_id", "guid")
 
 
-_WINDOW = """, now AS (SELECT max(ts) AS t FROM events), items AS (
+_WINDOW = """, now AS (SELECT max(ts) + INTERVAL 15 DAY AS t FROM events), items AS (
   SELECT user_id AS source_id, 'g' || event_id AS guid, CASE WHEN user_id % 2 = 0 THEN 'paper' ELSE 'news' END AS kind, ts FROM events
 )
 """
@@ -118,7 +118,7 @@ _WINDOW = """, now AS (SELECT max(ts) AS t FROM events), items AS (
 @query(_WINDOW + "SELECT source_id, guid FROM items, now WHERE kind = 'paper' OR ts >= t - INTERVAL 30 DAY")
 def bootstrap_window(d: Domain) -> DataFrame:
     items = _items(d)
-    now = items.agg(F.max("published")).first()[0]  # one value
+    now = items.agg(F.max("published") + F.expr("INTERVAL 15 DAYS")).first()[0]  # one value
     empty = items.where("false").select("source_id", "guid")
     return filters.admitted(items, empty, F.lit(True), F.lit(now)).select("source_id", "guid")
 
@@ -743,7 +743,7 @@ def ingest_batches(d: Domain) -> DataFrame:
 @query(_WINDOW + "SELECT source_id, guid FROM items, now WHERE kind = 'news' AND source_id % 4 = 1 AND ts < t - INTERVAL 30 DAY")
 def skip_state(d: Domain) -> DataFrame:
     items = _items(d)
-    now = items.agg(F.max("published")).first()[0]
+    now = items.agg(F.max("published") + F.expr("INTERVAL 15 DAYS")).first()[0]
     first = items.where("source_id % 4 = 1").select("source_id").distinct()
     empty = items.where("false").select("source_id", "guid")
     return ingest.skip_state(items, empty, first, F.lit(now))[1]
