@@ -10,10 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark puts into one Arrow batch at most while these operators run: a bound on what a batch of texts holds.
+BATCH_ROWS = 2000
 #: UTF-8 bytes of text that one vectorised step holds (a single longer text is a step of its own).
 PIECE_BYTES = 1 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS (a smaller setting stays): whole texts make rows large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,6 +57,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: later jobs start from files
     that survive the loss of executors, and nothing is computed twice."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -92,6 +102,7 @@ def map_texts(df: DataFrame, columns: list[str | Column], schema: str, fn: Calla
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import distinct_sorted, map_texts, shingle_hashes
+from inkwell.llm.common import distinct_sorted, map_texts, shingle_hashes, small_batches
 
 #: Shingles of a part at most.
 PART = 64
@@ -129,6 +129,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for block in _blocks(items, "item_id", "text", 32 << 20):
         held = block.collect()

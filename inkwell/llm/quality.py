@@ -145,6 +145,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return np.array([a / c for a, _, c in blocks]), np.array([b / c for _, b, c in blocks])
 
 
+def _whole(half: np.ndarray) -> np.ndarray:
+    square = half[:, :-1]
+    half[:, :-1] = square + np.triu(square, 1).T
+    return half
+
+
 def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats) of every row."""
 
@@ -200,18 +206,15 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, folds: int = 3, hel
                     s[:, :p] += z[own].T @ z[own]
                     s[:, p] += z[own].T @ y[at : at + 4096][own]
         for k, s in total.items():
-            line = pa.ListArray.from_arrays(pa.array(np.arange(0, p * (p + 1) + 1, p + 1, dtype=np.int32)), pa.array(s.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(p, k, np.int32)), pa.array(np.arange(p, dtype=np.int32)), line], names=["f", "k", "line"])
-
-    def added(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"f": [key[0]], "k": [key[1]], "line": [np.sum(np.stack(pdf["line"].to_numpy()), axis=0)]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(upper), k, np.int32)), pa.array(upper), pa.array(s.reshape(-1)[upper])], names=["f", "place", "v"])
 
-    lines = rows.mapInArrow(normal, "f int, k int, line array<double>").groupBy("f", "k").applyInPandas(added, "f int, k int, line array<double>").collect()
+    # the matrix is symmetric: each task gives its upper half and right side, cell by cell, and Spark sums the cells
+    upper = np.flatnonzero(np.arange(p + 1)[None, :] >= np.arange(p)[:, None]).astype(np.int32)
+    cells = rows.mapInArrow(normal, "f int, place int, v double").groupBy("f", "place").agg(F.sum("v").alias("v")).collect()
     parts: dict[int, np.ndarray] = {}
-    for r in lines:  # folds x features rows, however large the input
-        parts.setdefault(r.f, np.zeros((p, p + 1)))[r.k] = r.line
+    for r in cells:  # folds x cells rows, however large the input
+        parts.setdefault(r.f, np.zeros(p * (p + 1)))[r.place] = r.v
+    parts = {f: _whole(flat.reshape(p, p + 1)) for f, flat in parts.items()}
     solve = lambda s: np.linalg.solve(s[:, :p] + penalty * np.diag([1e-6] + [1.0] * (p - 1)), s[:, p])
     whole = solve(sum(parts.values()))
     other = {f: solve(sum(s for g, s in parts.items() if g != f)) if len(parts) > 1 else whole for f in parts}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm import automaton
-from inkwell.llm.common import joined, map_texts, span_report
+from inkwell.llm.common import joined, map_texts, small_batches, span_report
 
 
 @dataclass(frozen=True)
@@ -153,6 +153,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with every secret of the text column replaced by ``mark`` (overlapping spans by one); a null text stays null."""
+    small_batches(df.sparkSession)
     scan = scanner(rules)
     names, at = df.columns, df.columns.index(text_col)
     schema = df.schema
