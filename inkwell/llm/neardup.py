@@ -35,7 +35,7 @@ PLACES = 64
 LONG = 256
 TREES = 10
 SMALL = 128
-DEPTH = 4
+DEPTH = 8
 #: 1 / 0.85 - 1: the chance of a second place.
 SECOND = 0.1765
 #: A pair is confirmed if its agreeing places are at most so many standard deviations under 0.85.
