@@ -1,7 +1,7 @@
 """The training-corpus pipeline: each stage calls one operator and is written before the next reads it.
 
 1. quality: documents that the quality classifier rejects go.
-2. near_duplicates: one document of each group of near duplicates stays (the smallest id).
+2. near_duplicates: one document of each group of near duplicates (a similarity of 0.80 and more) stays (the smallest id).
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: every secret in a text is replaced by a mark, and n_chars follows the text.
 5. encoding: the token ids of every whole text.
@@ -25,7 +25,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@ connected components.
 
 Documents with the same shingle set form a class, and one of them stands for it. In each of ``trees`` independent trees a
 node holds the documents that agree on the signature places chosen along its path; a node with more than ``SMALL``
-documents branches: the path's hash chooses one or two places (1 / 0.85 on average), and documents go on by their minwise
-value there. Two documents with a similarity of 0.85 meet at least once in expectation on every level. Small nodes are
+documents branches: the path's hash chooses one or two places (1 / s on average, s the least similarity, 0.85 by default),
+and documents go on by their minwise value there. Two documents with similarity s meet at least once in expectation on
+every level. Small nodes are
 compared exhaustively by signature, and pairs that look similar are confirmed on their full sets:
 
 1. first each document with its best earlier partner and with the node's middle, the member that is most like all others,
@@ -36,16 +37,31 @@ LONG = 256
 TREES = 10
 SMALL = 128
 DEPTH = 8
-#: 1 / 0.85 - 1: the chance of a second place.
-SECOND = 0.1765
-#: A pair is confirmed if its agreeing places are at most so many standard deviations under 0.85.
+#: The chance that the trees part a pair of the least similarity on all DEPTH levels, were its places independent.
+PARTED = 0.0017
+#: A pair is confirmed if its agreeing places are at most so many standard deviations under the least similarity.
 SURE = 3.4
 _SCALE = np.random.default_rng(17).integers(1, 1 << 62, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def likely(places: int) -> int:
-    """Agreeing places from which a pair may have a similarity of 0.85: 45 of 64, 198 of 256."""
-    return int(np.ceil(places * (0.85 - SURE * np.sqrt(0.85 * 0.15 / places))))
+def likely(places: int, percent: int = 85) -> int:
+    """Agreeing places from which a pair may have the similarity: 45 of 64 and 199 of 256 for 0.85, 41 and 184 for 0.80."""
+    s = percent / 100
+    return int(np.ceil(places * (s - SURE * np.sqrt(s * (1 - s) / places))))
+
+
+def second_place(percent: int) -> float:
+    """The chance of a second place: 0.1765 for 0.85, 0.25 for 0.80."""
+    return round(100 / percent - 1, 4)
+
+
+def trees_for(percent: int) -> int:
+    """Trees that part a pair of the least similarity with a chance of PARTED at most: 10 for 0.85, 13 for 0.80."""
+    s, c, parted = percent / 100, second_place(percent), 0.0
+    for _ in range(DEPTH):
+        one = 1 - s + s * parted
+        parted = (1 - c) * one + c * one * one
+    return TREES if parted <= 0 else max(TREES, int(np.ceil(np.log(PARTED) / np.log(parted))))
 
 
 def sketches(column: pa.Array, places: int = PLACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,11 +115,11 @@ def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
     return finalised(keys ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
-def children(keys: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def children(keys: np.ndarray, signature: np.ndarray, second: float) -> tuple[np.ndarray, np.ndarray]:
     """For documents in nodes ``keys``: (row, child node) of each place that the node's path chooses."""
     one = (_mixed(keys, 1) % np.uint64(PLACES)).astype(np.int64)
     two = (_mixed(keys, 2) % np.uint64(PLACES)).astype(np.int64)
-    also = ((_mixed(keys, 3) >> np.uint64(11)).astype(np.float64) / 2.0**53 < SECOND) & (one != two)
+    also = ((_mixed(keys, 3) >> np.uint64(11)).astype(np.float64) / 2.0**53 < second) & (one != two)
     rows = np.arange(len(keys))
     out_rows, out_keys = [], []
     for p, r in ((one, rows), (two[also], rows[also])):
@@ -118,22 +134,22 @@ def _roots(trees: int) -> np.ndarray:
     return finalised(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def _first_level(standing: DataFrame, trees: int) -> DataFrame:
+def _first_level(standing: DataFrame, trees: int, second: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, signature = b.column(0).to_numpy(), _signatures(b.column(1))
             for root in _roots(trees):
-                rows, keys = children(np.full(len(doc), root), signature)
+                rows, keys = children(np.full(len(doc), root), signature, second)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc[rows])], names=["node", "doc"])
 
     return standing.select("doc", "signature").mapInArrow(run, "node long, doc long")
 
 
-def _next_level(rows: DataFrame, standing: DataFrame) -> DataFrame:
+def _next_level(rows: DataFrame, standing: DataFrame, second: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc = b.column(1).to_numpy()
-            rows, keys = children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(2)))
+            rows, keys = children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(2)), second)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc[rows])], names=["node", "doc"])
 
     return rows.join(standing, "doc").select("node", "doc", "signature").mapInArrow(run, "node long, doc long")
@@ -146,15 +162,15 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(n, "node").select("node", "doc", "n")
 
 
-def nodes(standing: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+def nodes(standing: DataFrame, trees: int, second: float) -> tuple[DataFrame, DataFrame]:
     """(node, doc) of all small nodes, and (node, doc, n) of those that are still large on the last level."""
-    level = stored(_sized(stored(_first_level(standing, trees), "paths")), "nodes")
+    level = stored(_sized(stored(_first_level(standing, trees, second), "paths")), "nodes")
     small = [level.where(F.col("n") <= SMALL).select("node", "doc")]
     for _ in range(1, DEPTH):
         large = level.where(F.col("n") > SMALL)
         if large.limit(1).count() == 0:
             break
-        level = stored(_sized(stored(_next_level(large.select("node", "doc"), standing), "paths")), "nodes")
+        level = stored(_sized(stored(_next_level(large.select("node", "doc"), standing, second), "paths")), "nodes")
         small.append(level.where(F.col("n") <= SMALL).select("node", "doc"))
     out = small[0]
     for s in small[1:]:
@@ -197,12 +213,12 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
     return t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), _signatures(t.column(3))
 
 
-def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signature: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signature: np.ndarray, every: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, a, b) of pairs that look similar: with ``every`` all of different labels, else each document's best earlier partner and the node's middle."""
     first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     size = np.diff(np.append(first, len(node)))
     places = signature.shape[1]
-    least = likely(places)
+    least = likely(places, percent)
     where, left, right = [], [], []
     for s in np.unique(size[size > 1]).tolist():
         begin = first[size == s]
@@ -235,14 +251,14 @@ def similar_pairs(node: np.ndarray, doc: np.ndarray, label: np.ndarray, signatur
     return np.concatenate(where), np.minimum(a, b), np.maximum(a, b)
 
 
-def compare(members: DataFrame, marked: DataFrame, every: bool) -> DataFrame:
+def compare(members: DataFrame, marked: DataFrame, every: bool, percent: int) -> DataFrame:
     """(node, a, b): pairs to confirm within the nodes of ``members`` (node, doc); ``marked`` has doc, label, signature.
 
     A node that holds any similar pair gives a row at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            node, a, b = similar_pairs(*group, every)
+            node, a, b = similar_pairs(*group, every, percent)
             differ = a != b
             seen = np.unique(np.column_stack((node[differ], a[differ], b[differ])), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(seen[:, i]) for i in range(3)], names=["node", "a", "b"])
@@ -251,7 +267,7 @@ def compare(members: DataFrame, marked: DataFrame, every: bool) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "node long, a long, b long")
 
 
-def _rest(large: DataFrame, marked: DataFrame) -> DataFrame:
+def _rest(large: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
     """Pairs between members of a large node outside its largest component and all its members of other components.
 
     Members meet in blocks of about 64 (of documents by hash): a row holds two blocks, not two documents."""
@@ -271,7 +287,7 @@ def _rest(large: DataFrame, marked: DataFrame) -> DataFrame:
                 same = np.zeros((len(d), len(e)), dtype=np.int32)
                 for at in range(0, x.shape[1], 16):
                     same += (x[:, None, at : at + 16] == y[None, :, at : at + 16]).sum(2, dtype=np.int32)
-                i, j = np.nonzero((same >= likely(x.shape[1])) & (k[:, None] != m[None, :]))
+                i, j = np.nonzero((same >= likely(x.shape[1], percent)) & (k[:, None] != m[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[i], e[j])), pa.array(np.maximum(d[i], e[j]))], names=["a", "b"])
 
     return packed(rows, "all").join(odd, "node").select("odd", "all").mapInArrow(run, "a long, b long").distinct()
@@ -311,21 +327,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 85, trees: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept marks the smallest id of each component."""
-    if percent < 85:
-        raise ValueError("trees and thresholds are set for similarities of 0.85 and more")
+    if percent < 80:
+        raise ValueError("trees and thresholds are set for similarities of 0.80 and more")
     sketch = stored(sketch_table(df, id_col, text_col), "sketches")
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
     texts = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text")).where("doc is not null")
     standing = classes.select("doc", "signature")
-    small, large = nodes(standing, trees)
+    small, large = nodes(standing, trees or trees_for(percent), second_place(percent))
     hard = large.limit(1).count() > 0
     members = stored(small.unionByName(_pieces(large)) if hard else small, "members")
 
     unmarked = standing.withColumn("label", F.col("doc"))
-    found = stored(compare(members, unmarked, every=False), "found")
+    found = stored(compare(members, unmarked, every=False, percent=percent), "found")
     first = stored(found.select("a", "b").distinct(), "pairs")
     links = stored(confirmed(first, texts, percent), "links")
     labels = components(links)
@@ -339,14 +355,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, trees: int = TREES, id_col
     asked = groups.join(mixed, "node", "left_semi").select("doc").distinct()
     longer = stored(_long_signatures(texts.join(asked, "doc", "left_semi")), "longer")
 
-    second = stored(compare(open_, known.join(longer, "doc"), every=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(compare(open_, known.join(longer, "doc"), every=True, percent=percent).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = stored(confirmed(second, texts, percent), "links")
     if more.limit(1).count() > 0:
         links = links.unionByName(more)
         labels = components(links)
         known = standing.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
     if hard:
-        third = stored(_rest(large.join(mixed, "node", "left_semi"), known.join(longer, "doc")).join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
+        third = stored(_rest(large.join(mixed, "node", "left_semi"), known.join(longer, "doc"), percent).join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
         more = stored(confirmed(third, texts, percent), "links")
         if more.limit(1).count() > 0:
             labels = components(links.unionByName(more))

@@ -93,6 +93,22 @@ def test_large_nodes_are_cut_and_compared_whole(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_the_stage_drops_copies_from_80_percent(spark, tmp_path):
+    rows = []
+    for i in range(30):  # 200 words with four changed ones apart: 176 common of 216 shingles, 0.815
+        base = words(200, 3000 + i, 4000)
+        copy = list(base)
+        for k in range(4):
+            copy[30 + 45 * k] = f"new{i}x{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    want = {i for i, (_, c) in plain_components(rows, 80).items() if i == c}
+    assert len(want) == 30 and len({c for _, c in plain_components(rows, 85).values()}) == 60
+    docs = documents(spark, rows)
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)).collect()} == want
+    assert neardup.keep_one(docs).count() == 60  # op4's own contract stays at 0.85
+    assert (neardup.trees_for(85), neardup.trees_for(80), neardup.likely(64), neardup.likely(256)) == (10, 13, 45, 199)
+
+
 def test_near_duplicate_edges(spark, edge_docs, no_docs):
     rows = neardup.near_duplicates(edge_docs).collect()
     assert len(rows) == len(EDGES)
