@@ -5,9 +5,9 @@ bounded table); all other words of a text meet their counts in a join, summed up
 the chance of each frequent word or of a tail class (by a word's last two bytes); a word within a tail class has its
 smoothed share of the class's counts, from the same table. So the score is a log chance of the whole text, end included.
 
-The model's weights come from ``ROUNDS`` of parallel training: every task learns from the ``SHARE``-th part of training
-documents (by a hash of the id) in its partition, and the weights are averaged by tokens. So the training set grows with the
-input, and nothing but weights leaves the executors.
+The model's weights come from ``ROUNDS`` of parallel training: every task learns from all training documents in its
+partition, and the weights are averaged by tokens. So the training set grows with the input, and nothing but weights leaves
+the executors.
 
 Null and empty texts have one token, the end. Rows with a null id are not held out and teach nothing; repeated rows each
 teach and each give a row. Memory is bounded by a slice of about 8 MB of text (or one text, if longer).
@@ -29,7 +29,6 @@ from inkwell.llm.common import fold, pieces, stored, texts_of
 
 KNOWN = 131_072
 ROUNDS = 2
-SHARE = 16
 SMOOTH = 0.1
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 300_000
@@ -147,8 +146,8 @@ class Reader:
         return symbols, place, rare
 
 
-def trained(sample: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` of training on all rows of ``sample``, averaged over tasks in fixed point (so that the
+def trained(learn: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights after ``rounds`` of training on all rows of ``learn``, averaged over tasks in fixed point (so that the
     order of sums changes nothing)."""
     weights = gru.initial(vocabulary.class_log, vocabulary.member_log)
     size = len(gru.pack(weights))
@@ -166,7 +165,7 @@ def trained(sample: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
                 place = np.append(np.arange(size, dtype=np.int32), np.int32(-1))
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.append(np.round(summed * 1024), total).astype(np.int64))], names=["k", "v"])
 
-        sums = sample.select("text").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        sums = learn.select("text").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
         if not sums:
             return weights
         flat = np.zeros(size + 1)
@@ -182,8 +181,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     learn = docs.where(fold(F.col("doc_id"), folds) != 0)
     counts = stored(count_words(learn), "counts")
     vocabulary = Vocabulary(counts)
-    sample = stored(learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select("text"), "sample")
-    weights = trained(sample, vocabulary)
+    weights = trained(learn, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, scorer = vocabulary.reader(), gru.Scorer(weights)

@@ -211,6 +211,14 @@ def test_lm_learns_and_takes_edges(spark, edge_docs, no_docs):
     assert lm.score_documents(edge_docs).count() == len(EDGES) and lm.score_documents(no_docs).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    rows = [(i, f"only{i} " + " ".join(words(20, i))) for i in range(64)]
+    given = []
+    monkeypatch.setattr(lm, "trained", lambda learn, vocabulary: given.append(learn) or gru.initial(vocabulary.class_log, vocabulary.member_log))
+    lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert sorted(r.text for r in given[0].select("text").collect()) == sorted(t for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0)
+
+
 def test_gru_gradient_and_windows():
     rnd = np.random.default_rng(0)
     w = gru.initial(np.zeros(gru.CLASSES), np.zeros(gru.VOCAB))
