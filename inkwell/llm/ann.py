@@ -5,7 +5,8 @@ class; each class keeps its smallest ids, one more than the neighbours asked for
 Classes are dealt to shards of about ``SHARD`` by a hash, so no shard depends on how vectors cluster. A shard builds
 ``TABLES`` hash tables, each of ``HASHES`` functions floor((a.x + b) / WIDTH) with Gaussian a. A query visits its own bucket and
 the ``PROBES`` perturbed buckets of the highest estimated success in each table; the candidates of all tables are merged and
-reranked by their exact cosine. Queries go to all shards in packed blocks, and the shards' best are merged.
+reranked by their exact cosine. Queries go to all shards in packed blocks, and the shards' best are merged. A query whose
+buckets hold fewer candidates than were asked for, though its length has more, is compared with all vectors of that length.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length than a query's
 are no candidates of it. Ties go to the smaller id. Repeated rows of an id count once.
@@ -128,9 +129,26 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
     none = F.lit(None)
     index_rows = classes.select(shard.alias("shard"), F.lit(-1).alias("block"), "key", "ids", "vector")
+    key_type = classes.schema["key"].dataType.simpleString()
     one = distinct.select(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(blocks)).cast("int").alias("block"), "key", none.cast("array<bigint>").alias("ids"), "vector")
     query_rows = one.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "key", "ids", "vector")
-    key_type = classes.schema["key"].dataType.simpleString()
+    best = stored(_searched(index_rows, query_rows, shards, key_type, k, every=False), "best")
+    # k + 1 ids, the query's own among them, or all that its length has
+    has = classes.groupBy(F.col("key.n").alias("n")).agg(F.sum(F.size("ids")).alias("has"))
+    short = distinct.select("key").join(best.select("key", F.size("all").alias("got")), "key", "left").join(has, F.col("key.n") == F.col("n"))
+    short = stored(short.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), F.col("has"))).select("key", "n"), "short")
+    if short.limit(1).count() > 0:
+        few = index_rows.join(short.select("n").distinct(), F.col("key.n") == F.col("n"), "left_semi")
+        exact = _searched(few, query_rows.join(short.select("key"), "key", "left_semi").select(query_rows.columns), shards, key_type, k, every=True)
+        best = best.join(short.select("key"), "key", "left_anti").unionByName(stored(exact, "exact"))
+    own = keyed.select("query_id", "key").join(best, "key")
+    kept = F.slice(F.filter("all", lambda x: x["i"] != F.col("query_id")), 1, k)
+    out = own.select("query_id", F.posexplode(kept).alias("p", "x"))
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+
+def _searched(index_rows: DataFrame, query_rows: DataFrame, shards: int, key_type: str, k: int, every: bool) -> DataFrame:
+    """(key, all): the merged best of each query's shards, found by the hash tables or, with ``every``, among all vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: list = []
@@ -140,7 +158,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                yield from _answers(held, tables, k)
+                yield from _answers(held, tables, k, every)
                 held.clear()
 
         for batch in batches:
@@ -154,7 +172,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                     index.append(row)
                     continue
                 if index:
-                    tables = _built(index)
+                    tables = _built(index, every)
                     index = []
                 held.append(row)
                 if len(held) >= BLOCK:
@@ -164,25 +182,21 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     rows = index_rows.unionByName(query_rows).repartition(shards, "shard").sortWithinPartitions("shard", "block")
     found = rows.mapInArrow(run, f"key {key_type}, ids array<bigint>, scores array<double>")
     best = found.select("key", F.explode(F.arrays_zip("scores", "ids")).alias("x")).groupBy("key").agg(F.collect_list(F.struct((-F.col("x.scores")).alias("s"), F.col("x.ids").alias("i"))).alias("all"))
-    best = best.select("key", F.array_sort("all").alias("all"))
-    own = keyed.select("query_id", "key").join(best, "key")
-    kept = F.slice(F.filter("all", lambda x: x["i"] != F.col("query_id")), 1, k)
-    out = own.select("query_id", F.posexplode(kept).alias("p", "x"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return best.select("key", F.array_sort("all").alias("all"))
 
 
-def _built(index: list) -> dict[int, tuple[Tables, list, np.ndarray, np.ndarray]]:
-    """The tables of a shard, by vector length."""
+def _built(index: list, every: bool) -> dict[int, tuple[Tables | None, list, np.ndarray, np.ndarray]]:
+    """The tables of a shard, by vector length (none where every vector is a candidate)."""
     out = {}
     for size in {len(r["vector"]) for r in index}:
         rows = [r for r in index if len(r["vector"]) == size]
         x = np.array([r["vector"] for r in rows], dtype=np.float64)
         norm = np.sqrt((x**2).sum(1))
-        out[size] = (Tables(x / norm[:, None]), [r["ids"] for r in rows], x, norm)
+        out[size] = (None if every else Tables(x / norm[:, None]), [r["ids"] for r in rows], x, norm)
     return out
 
 
-def _answers(held: list, tables: dict, k: int) -> Iterator[pa.RecordBatch]:
+def _answers(held: list, tables: dict, k: int, every: bool) -> Iterator[pa.RecordBatch]:
     """For each query its k + 1 best ids in the shard (the query's own id may be one of them)."""
     keys, ids, scores = [], [], []
     for size, (table, members, x, norm) in tables.items():
@@ -191,7 +205,7 @@ def _answers(held: list, tables: dict, k: int) -> Iterator[pa.RecordBatch]:
             continue
         q = np.array([r["vector"] for r in own], dtype=np.float64)
         q_norm = np.sqrt((q**2).sum(1))
-        found = table.candidates(q / q_norm[:, None])
+        found = np.ones((len(q), len(x)), dtype=bool) if every else table.candidates(q / q_norm[:, None])
         for i, row in enumerate(own):
             at = np.flatnonzero(found[i])
             if not len(at):

@@ -286,6 +286,16 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0 and ann.nearest(df, df.where("false")).count() == 0
 
 
+def test_neighbours_are_never_fewer_than_there_are(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, (1 if i % 2 else -1) * np.eye(16)[0] + 0.1 * rnd.normal(size=16)) for i in range(8)]  # two opposite bundles
+    rows += [(50 + i, rnd.normal(size=40)) for i in range(4)]  # a rare length with few candidates
+    rows = [(i, v.tolist()) for i, v in rows] + [(100, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {(q, k + 1, i) for q, near in plain_nearest(rows, [i for i, _ in rows]).items() for k, (i, _) in enumerate(near)}
+    assert {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df).collect()} == want and len(want) == 8 * 5 + 4 * 3
+
+
 def test_recall_on_the_given_vectors(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     held = [(r.vec_id, r.embedding) for r in rows.collect()]
