@@ -588,6 +588,19 @@ def summary(d: Domain) -> DataFrame:
     return d.entries.where(~F.col("content").rlike("[A-Z0-9][.!?] [A-Z0-9]")).select("id", tx.summary(F.col("title"), F.col("content")).alias("summary"))
 
 
+@query()
+def sentences_all(d: Domain) -> DataFrame:
+    """Every entry; ``sentences`` covers the rows that its SQL states."""
+    s = tx.sentences(tx.collapse_strip(F.col("content")))
+    return d.entries.select("id", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"))
+
+
+@query()
+def summary_all(d: Domain) -> DataFrame:
+    """Every entry; ``summary`` covers the rows that its SQL states."""
+    return d.entries.select("id", tx.summary(F.col("title"), F.col("content")).alias("summary"))
+
+
 @query("SELECT id, md5(trim(concat_ws(chr(10), title, title, content, source_title || ' ' || category), chr(10) || ' ')) AS digest FROM es")
 def entry_text(d: Domain) -> DataFrame:
     e = joins.with_sources(d.entries, d.sources)
