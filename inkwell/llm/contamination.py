@@ -1,9 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 A document's five-word shingles are cut into parts of at most ``PART`` shingles, and parts are classed by size. For each
-class the number of hash functions follows from its largest size and the smallest item, so that an item of which
-``threshold`` lies in the text shares a minimum with one of the text's parts with a probability of ``recall`` at least
-(one agreeing minimum makes a candidate). Candidates are confirmed on the whole text's set of shingles.
+class of largest size c the number of hash functions is -ln(1 - recall) * (n + c) / s, for the item size n where that is most and
+the s shingles of it that must lie in the text. A part that holds h of them shares a minimum under one function with a chance of
+h / (n + c) at least, and the parts' h add up to s: however the text's parts cut an item of which ``threshold`` lies in the text,
+it shares a minimum with one of them with a probability of ``recall`` at least (one agreeing minimum makes a candidate).
+Candidates are confirmed on the whole text's set of shingles.
 
 Items are met in blocks of ``block_bytes`` of text, so that what is sent to the executors is bounded; the documents are
 read once for each block. Texts of documents and items with fewer than five words have one shingle, all their words;
@@ -33,13 +35,12 @@ class Index:
         self.ids = [i for i, _ in sets]
         self.sets = [s for _, s in sets]
         self.threshold = threshold
-        least = min((len(s) for s in self.sets), default=1)
+        sizes = np.unique([len(s) for s in self.sets] or [1])
+        needed = np.maximum(1, np.ceil(threshold * sizes - 1e-9))  # shared shingles of a match, by item size
         self.classes = []  # (largest size, functions)
         size = 4
         while size <= PART:
-            shared = max(1.0, threshold * min(least, size / threshold))
-            similar = min(1.0, shared / (least + size - shared)) if shared <= size else 1.0
-            need = 1 if similar >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - similar)))
+            need = max(1, int(np.ceil(-np.log(1 - recall) * ((sizes + size) / needed).max())))
             self.classes.append((size, min(need, len(_SCALE))))
             size *= 2
         self.minima = []  # for each function: sorted minima, and their items

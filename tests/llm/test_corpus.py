@@ -144,6 +144,17 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert contamination.find_items(docs, none).count() == 0 and contamination.remove_contaminated(docs, none).count() == len(rows)
 
 
+def test_decontamination_holds_its_recall_where_an_item_is_cut():
+    for n in (12, 60, 80):
+        index = contamination.Index([1], [" ".join(f"w{i}" for i in range(n + 4))], 0.8, 0.999999)
+        shared = math.ceil(0.8 * n)
+        for parts in (1, 2, 4):  # the shared shingles lie evenly in so many full parts
+            held = shared / parts
+            if held <= contamination.PART:
+                miss = (1 - held / (n + contamination.PART - held)) ** (parts * dict(index.classes)[contamination.PART])
+                assert miss <= 1e-6
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, "same text here for two rows"), (None, "x")], "item_id long, text string")
     assert [(r.doc_id, r.containment) for r in contamination.find_items(edge_docs, bench).orderBy("doc_id").collect()] == [(7, 1.0), (7, 1.0), (8, 1.0)]
