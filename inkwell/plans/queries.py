@@ -347,6 +347,7 @@ def tfidf_all(d: Domain) -> DataFrame:
 
 @query(_W + "SELECT a.id, b.item, round(sum(a.w / n.norm * b.w), 6) AS dot FROM raw a JOIN norm n USING (id) JOIN (SELECT id AS item, term, w / norm AS w FROM raw JOIN norm USING (id) WHERE id < 5) b USING (term) GROUP BY a.id, b.item")
 def sparse_dot(d: Domain) -> DataFrame:
+    """Every document against a query set: the documents with ids below 5 (none of them, no rows)."""
     w = ranking.tfidf(_tf(d), "id", d.entries.count())
     dots = ranking.sparse_dot(w, w.where("id < 5").withColumnRenamed("id", "item"), "id", "item")
     return dots.select("id", "item", F.round("dot", 6).alias("dot"))
@@ -354,6 +355,7 @@ def sparse_dot(d: Domain) -> DataFrame:
 
 @query("SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id < 10")
 def dense_cosine(d: Domain) -> DataFrame:
+    """Every vector against the vectors of its label in a query set: those with ids below 10 (none of them, no rows)."""
     e = d.table("embeddings")
     small = e.where("vec_id < 10").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("b"))
     return e.join(small, "label").select("vec_id", "other", F.round(ranking.dense_cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
