@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,10 @@ from inkwell.llm.common import finalised, joined, map_texts, texts_of, word_hash
 # The base kinds of the query's contract.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# A chain of digit runs joined by single dots; possessive, so that a run is read once however long it is.
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_RUN = re.compile(r"[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,12 +57,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping runs of four numbers up to 255 joined by dots: a chain's numbers are taken four by four, and a
+    four that fails is dropped."""
+    for chain in _CHAIN.finditer(text):
+        if chain[0].count(".") < 3:
+            continue
+        runs = list(_RUN.finditer(text, chain.start(), chain.end()))
+        for i in range(0, len(runs) - 3, 4):
+            if all(len(n) <= 3 and int(n or "0") <= 255 for n in (r[0].lstrip("0") for r in runs[i : i + 4])):
+                yield runs[i].start(), runs[i + 3].end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the pattern kinds, by start, then kind."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(s, 1, e) for s, e in addresses(text)]
         for m in _CARD.finditer(text):
+            if m.end() - m.start() > 37:  # 19 digits with 18 signs between them
+                continue
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
                 out.append((m.start(), 2, m.end()))
@@ -126,12 +145,30 @@ _ DOB {birth:04/05/1986}. _
 _ DOB: {birth:11/12/1979}, _
 _ date of birth {birth:23/04/1962}. _
 _ born on {birth:03-09-1971}, _
-_ is, is, is, is, is, is, _
-_ is is is is is is is is _
-_ that. Of Of Of Of Of Of Of Of _
-_ at, On On On On On On _
-_ that. that. that. that. _
-_ for The The The The _
+_ lives at {address:18 Rose Court} _
+_ address: {address:3 Abbey Court}, _
+_ at {address:27 Linden Road} _
+_ signed, {name:Greta Holm} _
+_ Kind regards, {name:Felix Baum}
+_ Sincerely, {name:Emma Wright}
+_ Yours sincerely, {name:Noah Adler} _
+_ Regards, {name:Sofia Rossi}
+_ Mr. {name:Grant} and Mrs. {name:Hale} _
+_ born {birth:11/10/1947}, _
+_ born on {birth:12 April 1983} _
+_ born on {birth:June 7, 1955}, _
+_ DOB: {birth:30 August 1971} _
+_ DOB {birth:September 19, 1994}. _
+_ date of birth: {birth:2 October 1966} _
+_ date of birth is {birth:15 January 1979}, _
+_ opened on 12 April 1983 _
+_ on June 7, 1955 _
+_ since October 1966 _
+_ very very _ no no no _
+_ regards and _
+_ sincerely _
+_ the Court _
+_ 12 Court _
 _ Mr. _
 _ name is _
 _ my name _
@@ -149,8 +186,9 @@ _ 10.0.0.12 _
 _ 12 _
 _ X1 _
 _ patient _
-_ at _ at _
+_ at _
 _ 42 Oak _
+_ 3 of _ 9 in _
 _ [at] _
 _ (at) the _
 The _. The _ of _.
@@ -158,12 +196,17 @@ _ New _ and Old _ are _
 _
 """.strip("\n").split("\n")
 # Fill-in words (lower case, capitalised, shouted, with signs), so that no shape alone tells a kind.
-FILL = "the of and to in is on that for it with as was by are this be or from thtion and, eren. The On It In Thertion Shand, Ouen. THE THERE!! OF!! IN,!! onre*** the&&& as%%% st$$$ in### oner | thhe | - Une Les Der la de que les und die el en ést über señor école 7 19 300".split()
+FILL = (
+    "the of and to in is on that for it with as was by are this be or from water, letter. The On It In There Summer, Garden. THE NOTE!! OF!! IN,!! see*** tea&&& half%%% cost$$$"
+    " in### other | town | - Une Les Der la de que les und die el en ést über señor école 7 19 300"
+).split()
 # Words whose own form counts, not only their shape.
 CLUES = (
     "my name is am i mr mrs ms dr patient employee contact signed name je m'appelle ich heiße me llamo lives at address street avenue road lane blvd"
-    " drive court ssn social security number passport born on date of birth dob [at] (at) [dot] (dot) van de der write call"
+    " drive court regards sincerely yours january february march april june july august september october november december ssn social security number passport born on date of birth dob [at] (at) [dot] (dot) van de der write call"
 ).split()
+# Clues that a full stop leaves what they are (after others it ends a sentence).
+SHORT = "mr mrs ms dr blvd dob ssn".split()
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[0x30:0x3A] = ord("d")
@@ -192,19 +235,20 @@ def _shape_powers(n: int) -> np.ndarray:
 
 
 class Field:
-    """A trained linear-chain conditional random field. A word is seen as one symbol (its shape and clue)."""
+    """A trained linear-chain conditional random field. A word is seen as one symbol (its shape and clue); a word that stands
+    beside itself (``no no no``) tells nothing and has the symbol of an unknown shape."""
 
     def __init__(self, seed: int = 7, rounds: int = 150) -> None:
         rnd = np.random.default_rng(seed)
         sentences = [self._spread(line, rnd) for _ in range(6) for line in EXAMPLES]
         words = [[w for w, _ in s] for s in sentences]
         self.shapes = {s: i for i, s in enumerate(sorted({shape(w) for s in words for w in s}), 1)}
-        self.clues = {c: i for i, c in enumerate(sorted({f"{c}{end}" for c in CLUES for end in ("", ":", ".", ",")}), 1)}
+        self.clues = {c: i for i, c in enumerate(sorted({f"{c}{end}" for c in CLUES for end in ("", ":", ",", *"." * (c in SHORT))}), 1)}
         self.clue_kind = {i: 1 + CLUES.index(c.rstrip(":.,") if c.rstrip(":.,") in CLUES else c) for c, i in self.clues.items()}
         n_shape, n_clue = len(self.shapes) + 1, len(CLUES) + 1
         self.n_clue = n_clue
         self.size = n_shape * n_clue
-        symbols = [[self._symbol(w) for w in s] for s in words]
+        symbols = [[self._symbol(w) * (w.lower() not in (before, after)) for before, w, after in zip(["", *low], s, [*low[1:], ""])] for s, low in ((s, [w.lower() for w in s]) for s in words)]
         tags = [[t for _, t in s] for s in sentences]
         self.scores = self._train(symbols, tags, n_shape, rounds)
         clue_hash = np.array([_key(c) for c in self.clues], dtype=np.uint64)
@@ -263,9 +307,8 @@ class Field:
             flat = gap.reshape(-1, TAGS)
             for d in self.NEAR:
                 for k, source in (("s", near[d][0]), ("c", near[d][1])):
-                    g = np.zeros_like(w[k, d])
-                    np.add.at(g, source.reshape(-1), flat)
-                    grad[k, d] = g
+                    cell = source.reshape(-1, 1) * TAGS + np.arange(TAGS)
+                    grad[k, d] = np.bincount(cell.reshape(-1), flat.reshape(-1), w[k, d].size).reshape(-1, TAGS)
             for k in w:
                 g = grad[k] - 0.3 * w[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -299,31 +342,32 @@ class Field:
 
     @staticmethod
     def _marginals(e: np.ndarray, t: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count, longest, _ = e.shape
-        total = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-        ahead = np.zeros_like(e)
-        back = np.zeros_like(e)
-        ahead[:, 0] = e[:, 0]
+        """The chance of each tag at each word, and the expected number of each pair of tags: forward and backward sums,
+        scaled at each word to add up to one."""
+        longest = e.shape[1]
+        e, t = np.exp(e - e.max(2, keepdims=True)), np.exp(t)
+        ahead, back, scale = e.copy(), np.ones_like(e), np.ones(e.shape[:2])
+        ahead[:, 0] /= ahead[:, 0].sum(1, keepdims=True)
         for i in range(1, longest):
-            new = total(ahead[:, i - 1, :, None] + t, 1) + e[:, i]
-            ahead[:, i] = np.where(live[:, i, None], new, ahead[:, i - 1])
-        for i in range(longest - 2, -1, -1):
-            new = total(t + (e[:, i + 1] + back[:, i + 1])[:, None, :], 2)
-            back[:, i] = np.where(live[:, i + 1, None], new, 0)
-        z = total(ahead[:, -1], 1)
-        p = np.exp(ahead + back - z[:, None, None]) * live[..., None]
+            new = (ahead[:, i - 1] @ t) * e[:, i]
+            scale[:, i] = np.where(live[:, i], new.sum(1), 1.0)
+            ahead[:, i] = np.where(live[:, i, None], new / scale[:, i, None], ahead[:, i - 1])
         pair = np.zeros_like(t)
-        for i in range(1, longest):
-            q = np.exp(ahead[:, i - 1, :, None] + t + (e[:, i] + back[:, i])[:, None, :] - z[:, None, None])
-            pair += (q * live[:, i, None, None]).sum(0)
-        return p, pair
+        for i in range(longest - 2, -1, -1):
+            later = np.where(live[:, i + 1, None], e[:, i + 1] * back[:, i + 1] / scale[:, i + 1, None], 0.0)
+            pair += t * (ahead[:, i].T @ later)
+            back[:, i] = np.where(live[:, i + 1, None], later @ t.T, 1.0)
+        return ahead * back * live[..., None], pair
 
-    def symbols(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def symbols(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.ndarray) -> np.ndarray:
         size = 1 << max(16, int(len(data) + 2).bit_length())
         if size not in self.shape_hash:  # the hash scale depends on the slice's size class
             self.shape_hash[size] = self._shape_table(size)
         known, number = self.shape_hash[size]
-        return self._look(known, number, shape_hashes(data, begin, end, size)) * self.n_clue + self._look(self.clue_hash, self.clue_number, words)
+        out = self._look(known, number, shape_hashes(data, begin, end, size)) * self.n_clue + self._look(self.clue_hash, self.clue_number, words)
+        twin = np.flatnonzero((words[1:] == words[:-1]) & (line[1:] == line[:-1]))
+        out[twin] = out[twin + 1] = 0
+        return out
 
     def _shape_table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         names = list(self.shapes)
@@ -415,8 +459,11 @@ def field_spans(column: pa.Array, model: Field) -> list[list[tuple[int, int, int
         return out
     line = np.cumsum((data == 10) | (data == 0))[begin]
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    tags = model.decode(model.symbols(data, begin, end, words), first, np.diff(np.append(first, len(begin))))
+    tags = model.decode(model.symbols(data, begin, end, words, line), first, np.diff(np.append(first, len(begin))))
     opened = np.flatnonzero((tags & 1) == 1)
+    if not len(opened):
+        return out
+    before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
     for i in opened.tolist():
         j = i + 1
         while j < len(tags) and tags[j] == tags[i] + 1 and line[j] == line[i]:
@@ -427,9 +474,8 @@ def field_spans(column: pa.Array, model: Field) -> list[list[tuple[int, int, int
         a += len(raw) - len(raw.lstrip(b"(\"'"))
         if a < b:
             d = int(np.searchsorted(starts, a, side="right")) - 1
-            text = data[int(starts[d]) : b].tobytes()
-            left = len(text[: a - int(starts[d])].decode("utf-8"))
-            out[d].append((left, len(KINDS) + int(tags[i]) // 2, left + len(text[a - int(starts[d]) :].decode("utf-8"))))
+            zero = before[starts[d]]
+            out[d].append((int(before[a] - zero), len(KINDS) + int(tags[i]) // 2, int(before[b] - zero)))
     return out
 
 
@@ -438,7 +484,8 @@ def spans_of(column: pa.Array, model: Field) -> list[list[tuple[int, int, int]]]
     out = []
     for text, more in zip(texts_of(column), field_spans(column, model)):
         base = base_spans(text)
-        out.append(sorted(base + [x for x in more if all(x[2] <= s or x[0] >= e for s, _, e in base)]))
+        begin, reach = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]  # reach: where the first i spans end
+        out.append(sorted(base + [x for x in more if reach[bisect_left(begin, x[2])] <= x[0]]))
     return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -92,6 +93,60 @@ def test_pii_base_equals_regexes():
         assert pii.base_spans(text) == plain_pii(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("0" * 5000 + ".1.1.1", [(0, 1, 5006)]), ("7" * (1 << 20), []), ("1." * (1 << 19), [(8 * i, 1, 8 * i + 7) for i in range(1 << 17)]),
+        ("1 " * (1 << 19), []), ("+1" + "(" * (1 << 20), []), ("a@" * (1 << 19), []), ("9" * 5000 + ".1.1.1 1.2.3.4", [(5007, 1, 5014)]),
+    ],
+    ids=["zeros", "digits", "dots", "spaced", "signs", "ats", "large"],
+)
+def test_long_runs_take_linear_time(text, found):
+    began = time.time()
+    assert pii.base_spans(text) == found and time.time() - began < 2
+
+
+def test_field_on_marked_sentences_it_never_saw():
+    import marked
+
+    field, names = pii.field(), pii.KINDS + pii.FIELD_KINDS
+    learned = {re.sub(r"[{}]|\w+:", "", line).strip("_ ") for line in pii.EXAMPLES}
+    assert not learned & {marked.parts(line)[0] for line in marked.MARKED}
+    recall, precision = marked.measured(lambda text: [(names[k], s, e) for s, k, e in pii.field_spans(pa.array([text]), field)[0]])
+    assert recall >= 0.95 and precision >= 0.95
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    e, t = rnd.normal(size=(2, 4, pii.TAGS)), np.where(pii.Field._allowed(), rnd.normal(size=(pii.TAGS, pii.TAGS)), -1e4)
+    live = np.array([[True] * 4, [True, True, False, False]])
+    p, pair = pii.Field._marginals(e, t, live)
+    pairs = np.zeros_like(t)
+    for s, n in ((0, 4), (1, 2)):
+        ways = list(itertools.product(range(pii.TAGS), repeat=n))
+        weight = np.exp([sum(e[s, i, k] for i, k in enumerate(w)) + sum(t[a, b] for a, b in zip(w, w[1:])) for w in ways])
+        weight /= weight.sum()
+        for i in range(n):
+            assert np.allclose(p[s, i], np.bincount([w[i] for w in ways], weight, pii.TAGS))
+        for i in range(1, n):
+            np.add.at(pairs, ([w[i - 1] for w in ways], [w[i] for w in ways]), weight)
+    assert np.allclose(pair, pairs) and not p[1, 2:].any()
+
+
+def test_added_spans_never_overlap_base_ones():
+    rnd = random.Random(8)
+    parts = ["my name is Anna Keller ", "DOB: 04/05/1986 ", "SSN: 321-54-9876 ", "a.b@c.de ", "+1 212 555 0100 ", "é, ", "4111 1111 1111 1111 ", "Mr. 1.2.3.4 ", "contact bob [at] mail [dot] org\n", "Mr. Tom.B@c.de "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(200)]
+    more = pii.field_spans(pa.array(texts), pii.field())
+    for text, found, added in zip(texts, pii.spans_of(pa.array(texts), pii.field()), more):
+        base = plain_pii(text)
+        assert found == sorted(base + [x for x in added if all(x[2] <= s or x[0] >= e for s, _, e in base)])
+
+
 def test_field_decodes_as_plain_viterbi():
     import numpy as np
 
