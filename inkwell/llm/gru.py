@@ -144,83 +144,171 @@ class Scorer:
         return value.astype(np.float64)
 
 
-def gradient(w: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.ndarray) -> tuple[dict, np.ndarray, float, int]:
+def _summed(rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each key."""
+    order = np.argsort(key, kind="stable")
+    keys = key[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[keys[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+#: Tokens of which the output is computed at once.
+CHUNK = 1 << 14
+
+
+class Space(dict):
+    """Arrays of one window that the next one uses again: fresh memory for each would cost more than the sums."""
+
+    def at(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        size = int(np.prod(shape))
+        held = self.get(name)
+        if held is None or len(held) < size or held.dtype != dtype:
+            held = self[name] = np.zeros(size, dtype)
+        return held[:size].reshape(shape)
+
+
+def gradient(w: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.ndarray, space: Space | None = None) -> tuple[dict, np.ndarray, float, int]:
     """Gradient of the summed log loss over one window (time, lane), the state after it, the loss and the token count.
 
     Truncated: nothing flows back past the window's beginning.
     """
+    space = Space() if space is None else space
     steps, count = x.shape
-    H2 = 2 * HIDDEN
-    keep = (~reset).astype(np.float32)[..., None]
-    e = w["E"][x]
-    gates = e.reshape(-1, INPUT) @ w["W"] + w["b"]
-    gates = gates.reshape(steps, count, 3 * HIDDEN)
-    before, states, zs, rs, ns, us = (np.empty((steps, count, k), np.float32) for k in (HIDDEN, HIDDEN, HIDDEN, HIDDEN, HIDDEN, HIDDEN))
+    H2, kind = 2 * HIDDEN, w["U"].dtype
+    keep = (~reset).astype(kind)[..., None]
+    before, states, ns, us, to_n, tmp = (space.at(k, (steps, count, HIDDEN), kind) for k in ("before", "states", "ns", "us", "to_n", "tmp"))
+    zrs = space.at("zrs", (steps, count, H2), kind)
+    gates, d_us = (space.at(k, (steps, count, 3 * HIDDEN), kind) for k in ("gates", "d_us"))
+    u, half = space.at("u", (count, 3 * HIDDEN), kind), kind.type(0.5)
+    np.take(w["E"] @ w["W"] + w["b"], x, axis=0, out=gates, mode="clip")
     for t in range(steps):
-        h = h * keep[t]
-        before[t] = h
-        u = h @ w["U"]
-        z = _sigmoid(gates[t, :, :HIDDEN] + u[:, :HIDDEN])
-        r = _sigmoid(gates[t, :, HIDDEN:H2] + u[:, HIDDEN:H2])
-        n = np.tanh(gates[t, :, H2:] + r * u[:, H2:])
-        h = n + z * (h - n)
-        states[t], zs[t], rs[t], ns[t], us[t] = h, z, r, n, u[:, H2:]
-    flat_y = y.reshape(-1).astype(np.int64)
-    live = np.flatnonzero(flat_y >= 0)
-    s, t_y = states.reshape(-1, HIDDEN)[live], flat_y[live]
-    kind, member = _classes(t_y)
-    lp = _log_softmax(s @ w["C"] + w["c"])
-    loss = -lp[np.arange(len(t_y)), kind].sum()
-    d = np.exp(lp)
-    d[np.arange(len(t_y)), kind] -= 1
+        np.multiply(h, keep[t], out=before[t])
+        np.matmul(before[t], w["U"], out=u)
+        zr, n, h = zrs[t], ns[t], states[t]
+        np.add(gates[t, :, :H2], u[:, :H2], out=zr)  # the logistic function by way of tanh
+        zr *= half
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= half
+        us[t] = u[:, H2:]
+        np.multiply(zr[:, HIDDEN:], us[t], out=n)
+        n += gates[t, :, H2:]
+        np.tanh(n, out=n)
+        np.subtract(before[t], n, out=h)
+        h *= zr[:, :HIDDEN]
+        h += n
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    g["C"], g["c"] = s.T @ d, d.sum(0)
-    ds = d @ w["C"].T
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(VOCAB // MEMBERS + 1))
-    for k in range(VOCAB // MEMBERS):
-        own = order[edge[k] : edge[k + 1]]
-        if len(own):
-            q = _log_softmax(s[own] @ w["M"][k] + w["m"][k])
-            loss -= q[np.arange(len(own)), member[own]].sum()
-            dq = np.exp(q)
-            dq[np.arange(len(own)), member[own]] -= 1
-            g["M"][k], g["m"][k] = s[own].T @ dq, dq.sum(0)
-            ds[own] += dq @ w["M"][k].T
-    d_states = np.zeros((steps * count, HIDDEN), np.float32)
-    d_states[live] = ds
+    d_states = space.at("d_states", (steps * count, HIDDEN), kind)
+    flat_y, flat_s, loss, tokens = y.reshape(-1), states.reshape(-1, HIDDEN), 0.0, 0
+    for at in range(0, len(flat_y), CHUNK):
+        one, n = _output_gradient(w, flat_s[at : at + CHUNK], flat_y[at : at + CHUNK], d_states[at : at + CHUNK], g, space)
+        loss, tokens = loss + one, tokens + n
     d_states = d_states.reshape(steps, count, HIDDEN)
-    d_gates = np.empty_like(gates)
-    dh = np.zeros((count, HIDDEN), np.float32)
+    # what does not depend on the flow back is computed for all steps at once, in place
+    z, r = zrs[..., :HIDDEN], zrs[..., HIDDEN:]
+    to_z, to_r = space.at("to_z", (steps, count, HIDDEN), kind), us
+    np.subtract(before, ns, out=to_z)
+    to_z *= z
+    np.subtract(1, z, out=tmp)
+    to_z *= tmp
+    np.multiply(ns, ns, out=to_n)
+    np.subtract(1, to_n, out=to_n)
+    to_n *= tmp
+    to_r *= r
+    np.subtract(1, r, out=tmp)
+    to_r *= tmp
+    dh, dn, back = (space.at(k, (count, HIDDEN), kind) for k in ("dh", "dn", "back"))
+    dh[:], U_t = 0, np.ascontiguousarray(w["U"].T)
     for t in range(steps - 1, -1, -1):
-        dh = dh + d_states[t]
-        z, r, n = zs[t], rs[t], ns[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before[t] - n) * z * (1 - z)
-        dr = dn * us[t] * r * (1 - r)
-        d_gates[t, :, :HIDDEN], d_gates[t, :, HIDDEN:H2], d_gates[t, :, H2:] = dz, dr, dn
-        du = np.hstack([dz, dr, dn * r])
-        g["U"] += before[t].T @ du
-        dh = (dh * z + du @ w["U"].T) * keep[t]
-    flat = d_gates.reshape(-1, 3 * HIDDEN)
-    g["W"], g["b"] = e.reshape(-1, INPUT).T @ flat, flat.sum(0)
-    np.add.at(g["E"], x.reshape(-1), flat @ w["W"].T)
-    return g, h, float(loss), len(t_y)
-
-
-def train(weights: dict, texts: list[np.ndarray], most: int = 64, window: int = 32, least_steps: int = 100, rate: float = 0.01) -> tuple[dict, float, int]:
+        dh += d_states[t]
+        np.multiply(dh, to_n[t], out=dn)
+        du = d_us[t]
+        np.multiply(dh, to_z[t], out=du[:, :HIDDEN])
+        np.multiply(dn, to_r[t], out=du[:, HIDDEN:H2])
+        np.multiply(dn, r[t], out=du[:, H2:])
+        gates[t, :, H2:] = dn
+        dh *= z[t]
+        np.matmul(du, U_t, out=back)
+        dh += back
+        dh *= keep[t]
+    g["U"] = before.reshape(-1, HIDDEN).T @ d_us.reshape(-1, 3 * HIDDEN)
+    gates[..., :H2] = d_us[..., :H2]
+    by_symbol = _summed(gates.reshape(-1, 3 * HIDDEN), x.reshape(-1), SYMBOLS, space)
+    g["W"], g["b"], g["E"] = w["E"].T @ by_symbol, by_symbol.sum(0), by_symbol @ w["W"].T
+    return g, states[-1].copy(), loss, tokens
+
+
+def _output_gradient(w: dict, s: np.ndarray, y: np.ndarray, ds: np.ndarray, g: dict, space: Space) -> tuple[float, int]:
+    """Adds the output's part to ``g`` and writes what flows back to the states into ``ds``; the loss and the token count."""
+    live = np.flatnonzero(y >= 0)
+    rows = np.arange(len(y))
+    kind, member = _classes(y)
+    d = space.at("d", (len(y), CLASSES), s.dtype)
+    np.matmul(s, w["C"], out=d)
+    d += w["c"]
+    d -= d.max(1, keepdims=True)
+    own = d[rows, kind][live].sum(dtype=np.float64)
+    np.exp(d, out=d)
+    total = d.sum(1, keepdims=True)
+    loss = float(np.log(total[live]).sum(dtype=np.float64) - own)
+    d /= total
+    d[rows, kind] -= 1
+    if len(live) < len(y):
+        d[y < 0] = 0
+    g["C"] += s.T @ d
+    g["c"] += d.sum(0)
+    np.matmul(d, w["C"].T, out=ds)
+    order = live[np.argsort(kind[live], kind="stable")]
+    edge = np.searchsorted(kind[order], np.arange(VOCAB // MEMBERS + 1))
+    words = order[: edge[-1]]  # tail classes come last and have no members
+    s, member = s[words], member[words]
+    back = space.at("words", s.shape, s.dtype)
+    for k in range(VOCAB // MEMBERS):
+        a, b = edge[k], edge[k + 1]
+        if a < b:
+            q = _log_softmax(s[a:b] @ w["M"][k] + w["m"][k])
+            place = np.arange(b - a), member[a:b]
+            loss -= float(q[place].sum(dtype=np.float64))
+            np.exp(q, out=q)
+            q[place] -= 1
+            g["M"][k] += s[a:b].T @ q
+            g["m"][k] += q.sum(0)
+            np.matmul(q, w["M"][k].T, out=back[a:b])
+    ds[words] += back
+    return loss, len(live)
+
+
+def _summed(rows: np.ndarray, key: np.ndarray, n: int, space: Space) -> np.ndarray:
+    """Sums of the rows of each key."""
+    order = np.argsort(key, kind="stable")
+    keys = key[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sorted_rows = np.take(rows, order, axis=0, out=space.at("sorted", rows.shape, rows.dtype), mode="clip")
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[keys[first]] = np.add.reduceat(sorted_rows, first, axis=0)
+    return out
+
+
+#: Tokens of a run in training: longer texts are cut, so that many lanes have work; a run's first state is zero.
+RUN = 2048
+
+
+def train(weights: dict, texts: list[np.ndarray], most: int = 256, window: int = 32, least_steps: int = 100, rate: float = 0.01) -> tuple[dict, float, int]:
     """Adam over the texts, once or until ``least_steps`` windows are done; the weights, the mean loss of the last pass and its tokens."""
     w = {k: v.copy() for k, v in weights.items()}
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    texts = [t[a : a + RUN] for t in texts for a in range(0, len(t), RUN)]
     target, reset, _ = lanes(texts, most)
     given = _inputs(target, reset)
-    step = 0
+    step, space = 0, Space()
     while True:
         h = np.zeros((len(target), HIDDEN), np.float32)
         total, tokens = 0.0, 0
         for at in range(0, target.shape[1], window):
-            x, y, r = (a[:, at : at + window].T for a in (given, target, reset))
-            g, h, loss, n = gradient(w, h, x, y, r)
+            x, y, r = (np.ascontiguousarray(a[:, at : at + window].T) for a in (given, target, reset))
+            g, h, loss, n = gradient(w, h, x, y, r, space)
             if not n:
                 continue
             total, tokens, step = total + loss, tokens + n, step + 1

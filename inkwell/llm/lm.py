@@ -5,9 +5,9 @@ bounded table); all other words of a text meet their counts in a join, summed up
 the chance of each frequent word or of a tail class (by a word's last two bytes); a word within a tail class has its
 smoothed share of the class's counts, from the same table. So the score is a log chance of the whole text, end included.
 
-The model's weights come from ``ROUNDS`` of parallel training: every task learns from all training documents in its
-partition, and the weights are averaged by tokens. So the training set grows with the input, and nothing but weights leaves
-the executors.
+The model's weights come from ``ROUNDS`` of parallel training: the training documents are dealt to the rounds, in each every
+task learns from all of the round's documents in its partition, and the weights are averaged by tokens. So the model learns
+from every training document, and nothing but weights leaves the executors.
 
 Null and empty texts have one token, the end. Rows with a null id are not held out and teach nothing; repeated rows each
 teach and each give a row. Memory is bounded by a slice of about 8 MB of text (or one text, if longer).
@@ -16,16 +16,16 @@ teach and each give a row. Memory is bounded by a slice of about 8 MB of text (o
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import gru
-from inkwell.llm.common import fold, pieces, stored, texts_of
+from inkwell.llm.common import fold, pieces, stored
 
 KNOWN = 131_072
 ROUNDS = 2
@@ -36,9 +36,15 @@ SLICE = 8 << 20
 FIXED = 1 << 24
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased: what bytes.lower and bytes.split do."""
-    return text.encode("utf-8").lower().split()
+def words_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z lower-cased, as numbers of a dictionary, and where each text's words
+    begin (one entry more than texts). So Python sees each distinct word of a slice once."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "").cast(pa.large_string())))
+    at = found.offsets.to_numpy().astype(np.int64)
+    words = found.flatten()
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at the ends leaves empty words
+    at = np.concatenate(([0], np.cumsum(some)))[at - at[0]]
+    return words.filter(pa.array(some)).cast(pa.large_binary()).dictionary_encode(), at
 
 
 def tail_class(word: bytes) -> int:
@@ -49,15 +55,17 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, n long) over all rows of the text column; the end of a text is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
         for batch in pieces(batches):
-            for text in texts_of(batch.column(0)):
-                found.update(words_of(text))
-            found[b""] += batch.num_rows
+            words, _ = words_of(batch.column(0))
+            times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            for word, n in zip(words.dictionary.to_pylist(), times.tolist()):
+                found[word] = found.get(word, 0) + n
+            found[b""] = found.get(b"", 0) + batch.num_rows
             if len(found) > HELD:
                 yield out()
                 found.clear()
@@ -130,44 +138,48 @@ class Reader:
         within[rest] -= vocabulary.tail_spread[self.symbol[rest] - gru.VOCAB]
         within[-1] = 0.0
         self.within = within
-        self.end = self.place.get(b"", -1)
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols, places in the table (-1 for others), and the others."""
-        words = words_of(text)
-        words.append(b"")
+    def read(self, column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, pa.Array]:
+        """The symbols of each text, then for all texts together (ends included) where each text's tokens begin, their places in
+        the table (-1 - k for the k-th of the other words), and the other words."""
+        words, at = words_of(column)
+        known = [*words.dictionary.to_pylist(), b""]  # the last one ends a text
         get = self.place.get
-        place = np.array([get(w, -1) for w in words], dtype=np.int32)
-        symbols = self.symbol[place]
-        others = np.flatnonzero(place < 0)
-        rare = [words[i] for i in others.tolist()]
-        if rare:
-            symbols[others] = [tail_class(w) for w in rare]
-        return symbols, place, rare
+        place = np.array([get(w, -1) for w in known], dtype=np.int64)
+        other = np.flatnonzero(place < 0)
+        symbol = self.symbol[place]
+        symbol[other] = [tail_class(known[i]) for i in other.tolist()]
+        place[other] = -1 - np.arange(len(other))
+        starts = at + np.arange(len(at))
+        inner = np.ones(starts[-1], dtype=bool)
+        inner[starts[1:] - 1] = False
+        index = np.full(len(inner), len(known) - 1)
+        index[inner] = words.indices.to_numpy()
+        return np.split(symbol[index], starts[1:-1]), starts, place[index], pa.array([known[i] for i in other.tolist()], pa.binary())
 
 
 def trained(learn: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` of training on all rows of ``learn``, averaged over tasks in fixed point (so that the
-    order of sums changes nothing)."""
+    """Weights after ``rounds`` of training, averaged over tasks in fixed point (so that the order of sums changes nothing).
+    The rows of ``learn`` are dealt to the rounds by a hash of their id, so each is learned from once."""
     weights = gru.initial(vocabulary.class_log, vocabulary.member_log)
     size = len(gru.pack(weights))
-    for _ in range(rounds):
+    for i in range(rounds):
         now = weights
+        own = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i)
 
         def run(batches: Iterator[pa.RecordBatch], now: dict = now) -> Iterator[pa.RecordBatch]:
-            reader, own, total = vocabulary.reader(), now, 0
-            summed = np.zeros(size)
+            reader, held, total = vocabulary.reader(), now, 0
             for batch in pieces(batches, limit=SLICE):
-                own, _, n = gru.train(own, [reader.read(t)[0] for t in texts_of(batch.column(0))])
+                held, _, n = gru.train(held, reader.read(batch.column(0))[0])
                 total += n
             if total:
-                summed = gru.pack(own) * total
+                summed = gru.pack(held) * total
                 place = np.append(np.arange(size, dtype=np.int32), np.int32(-1))
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.append(np.round(summed * 1024), total).astype(np.int64))], names=["k", "v"])
 
-        sums = learn.select("text").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        sums = own.select("text").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
         if not sums:
-            return weights
+            continue
         flat = np.zeros(size + 1)
         for r in sums:  # one row for each weight, however large the input
             flat[r.k] = r.v
@@ -175,6 +187,16 @@ def trained(learn: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> d
     return weights
 
 
+def _rare(places: np.ndarray, starts: np.ndarray, others: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """For each text its distinct other words and how often each occurs."""
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    own = places < 0
+    pairs, times = np.unique(text[own] * max(len(others), 1) + (-1 - places[own]), return_counts=True)
+    text, word = np.divmod(pairs, max(len(others), 1))
+    at = pa.array(np.searchsorted(text, np.arange(len(starts))).astype(np.int32))
+    return pa.ListArray.from_arrays(at, others.take(pa.array(word))), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))
+
+
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
@@ -186,20 +208,18 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, scorer = vocabulary.reader(), gru.Scorer(weights)
         for batch in pieces(batches, limit=SLICE):
-            symbols, tokens, known, base, inner, rare, times = [], [], [], [], [], [], []
-            for text in texts_of(batch.column(1)):
-                s, place, others = reader.read(text)
-                found = Counter(others)
-                symbols.append(s)
-                tokens.append(len(s))
-                known.append(len(s) - len(others))
-                base.append(float(reader.base[place].sum()) - len(s) * vocabulary.spread)
-                inner.append(float(reader.within[place].sum()) - sum(n * vocabulary.tail_spread[tail_class(w) - gru.VOCAB] for w, n in found.items()))
-                rare.append(list(found))
-                times.append(list(found.values()))
-            score = scorer.log10(symbols) + np.array(inner)
+            symbols, starts, places, others = reader.read(batch.column(1))
+            tokens = np.diff(starts)
+            place = np.maximum(places, -1)  # all other words share the last entry, which is zero
+            per_text = lambda values: np.add.reduceat(values, starts[:-1])
+            base = per_text(reader.base[place]) - tokens * vocabulary.spread
+            known = per_text((places >= 0).astype(np.int64))
+            tail = np.array([vocabulary.tail_spread[tail_class(w) - gru.VOCAB] for w in others.to_pylist()] + [0.0])
+            inner = per_text(reader.within[place] - tail[np.where(places < 0, -1 - places, -1)])
+            rare, times = _rare(places, starts, others)
+            score = scorer.log10(symbols) + inner
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare, times],
                 names=["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"],
             )
 
