@@ -9,7 +9,12 @@ reranked by their exact cosine. Queries go to all shards in packed blocks, and t
 buckets hold fewer candidates than were asked for, though its length has more, is compared with all vectors of that length.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length than a query's
-are no candidates of it. Ties go to the smaller id. Repeated rows of an id count once.
+are no candidates of it. Ties go to the smaller id. An id counts once: where its rows hold several vectors, with the least of
+them (component by component, a shorter vector before its extensions). Components of any size that a double holds are fine:
+vectors are scaled by a power of two before they are squared.
+
+The index is dealt out evenly, one task for each shard; work is queries times candidates, so it grows with the square of the
+table where the queries are a fixed share of it.
 """
 
 from __future__ import annotations
@@ -101,6 +106,14 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & v.isNotNull()).where(fine)
 
 
+def _distinct_ids(rows: DataFrame) -> DataFrame:
+    """One vector for each id. Only ids that repeat (counted first, without their vectors) meet in an aggregation."""
+    again = stored(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
+    if again.limit(1).count() == 0:
+        return rows
+    return rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("vector").alias("vector")))
+
+
 def _key():
     """128 bits of hash and the length: what equal vectors share."""
     return F.struct(F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(7), "vector").alias("g"), F.size("vector").alias("n")).alias("key")
@@ -117,10 +130,10 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the k rows of ``df`` of the largest cosine found, its own id left out."""
-    classes = stored(_classes(usable(df, id_col, vector_col), k), "classes")
+    classes = stored(_classes(_distinct_ids(usable(df, id_col, vector_col)), k), "classes")
     n = classes.count()
     shards = max(1, -(-n // SHARD))
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    asked = _distinct_ids(usable(queries, id_col, vector_col))
     keyed = asked.select(F.col("id").alias("query_id"), _key(), "vector")
     keyed = stored(keyed, "queries")
     # equal query vectors are searched once: k + 1 candidates by class serve them all
@@ -151,63 +164,66 @@ def _searched(index_rows: DataFrame, query_rows: DataFrame, shards: int, key_typ
     """(key, all): the merged best of each query's shards, found by the hash tables or, with ``every``, among all vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: list = []
-        tables: dict[int, tuple[Tables, list]] = {}
-        held: list = []
-        now = (None, None)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield from _answers(held, tables, k, every)
-                held.clear()
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["shard"], row["block"]) != now:
-                    yield from flush()
-                    if row["shard"] != now[0]:
-                        index, tables = [], {}
-                    now = (row["shard"], row["block"])
-                if row["block"] < 0:
-                    index.append(row)
-                    continue
-                if index:
-                    tables = _built(index, every)
-                    index = []
-                held.append(row)
-                if len(held) >= BLOCK:
-                    yield from flush()
-        yield from flush()
-
-    rows = index_rows.unionByName(query_rows).repartition(shards, "shard").sortWithinPartitions("shard", "block")
+        index: list[pa.Table] = []
+        tables: dict[int, tuple[Tables | None, pa.Array, np.ndarray, np.ndarray]] = {}
+        for block, rows in _runs(batches):
+            if block < 0:
+                index.append(rows)
+                continue
+            if index:  # a task holds one shard, its index rows first
+                tables = _built(pa.concat_tables(index), every)
+                index = []
+            yield from _answers(rows, tables, k, every)
+
+    rows = index_rows.unionByName(query_rows).repartitionById(shards, F.col("shard")).sortWithinPartitions("block")
     found = rows.mapInArrow(run, f"key {key_type}, ids array<bigint>, scores array<double>")
     best = found.select("key", F.explode(F.arrays_zip("scores", "ids")).alias("x")).groupBy("key").agg(F.collect_list(F.struct((-F.col("x.scores")).alias("s"), F.col("x.ids").alias("i"))).alias("all"))
     return best.select("key", F.array_sort("all").alias("all"))
 
 
-def _built(index: list, every: bool) -> dict[int, tuple[Tables | None, list, np.ndarray, np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of one block at a time, BLOCK of them at most, from batches sorted by block."""
+    for batch in batches:
+        block = batch.column(1).to_numpy()
+        edge = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)])) if len(block) else []
+        for a, b in zip(edge[:-1], edge[1:]):
+            for at in range(int(a), int(b), BLOCK):
+                yield int(block[at]), pa.Table.from_batches([batch.slice(at, min(BLOCK, int(b) - at))])
+
+
+def _vectors(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of vectors: the length, the rows that have it, and the vectors, scaled by powers of two so that no
+    square overflows (a cosine stays what it is, to the last bit)."""
+    lists = rows.column("vector").combine_chunks()
+    size = lists.value_lengths().to_numpy()
+    values = lists.flatten().to_numpy()
+    start = np.cumsum(size) - size
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        x = values[start[own][:, None] + np.arange(n)]
+        yield n, own, np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _built(index: pa.Table, every: bool) -> dict[int, tuple[Tables | None, pa.Array, np.ndarray, np.ndarray]]:
     """The tables of a shard, by vector length (none where every vector is a candidate)."""
-    out = {}
-    for size in {len(r["vector"]) for r in index}:
-        rows = [r for r in index if len(r["vector"]) == size]
-        x = np.array([r["vector"] for r in rows], dtype=np.float64)
+    out, ids = {}, index.column("ids").combine_chunks()
+    for size, own, x in _vectors(index):
         norm = np.sqrt((x**2).sum(1))
-        out[size] = (None if every else Tables(x / norm[:, None]), [r["ids"] for r in rows], x, norm)
+        out[size] = (None if every else Tables(x / norm[:, None]), ids.take(pa.array(own)), x, norm)
     return out
 
 
-def _answers(held: list, tables: dict, k: int, every: bool) -> Iterator[pa.RecordBatch]:
+def _answers(asked: pa.Table, tables: dict, k: int, every: bool) -> Iterator[pa.RecordBatch]:
     """For each query its k + 1 best ids in the shard (the query's own id may be one of them)."""
-    keys, ids, scores = [], [], []
-    for size, (table, members, x, norm) in tables.items():
-        own = [r for r in held if len(r["vector"]) == size]
-        if not own:
+    answered, ids, scores = [], [], []
+    for size, own, q in _vectors(asked):
+        if size not in tables:
             continue
-        q = np.array([r["vector"] for r in own], dtype=np.float64)
+        table, members, x, norm = tables[size]
         q_norm = np.sqrt((q**2).sum(1))
-        found = np.ones((len(q), len(x)), dtype=bool) if every else table.candidates(q / q_norm[:, None])
-        for i, row in enumerate(own):
-            at = np.flatnonzero(found[i])
+        found = None if every else table.candidates(q / q_norm[:, None])
+        for i in range(len(q)):
+            at = np.arange(len(x)) if every else np.flatnonzero(found[i])
             if not len(at):
                 continue
             score = (x[at] * q[i]).sum(1) / (norm[at] * q_norm[i])
@@ -217,10 +233,10 @@ def _answers(held: list, tables: dict, k: int, every: bool) -> Iterator[pa.Recor
                 near = np.flatnonzero(score >= border)
             else:
                 near = np.arange(len(at))
-            pairs = sorted((-float(score[j]), v) for j in near for v in members[at[j]])[: k + 1]
-            keys.append(row["key"])
+            pairs = sorted((-float(score[j]), v) for j in near for v in members[int(at[j])].as_py())[: k + 1]
+            answered.append(int(own[i]))
             ids.append([v for _, v in pairs])
             scores.append([-s for s, _ in pairs])
-    if keys:
-        kind = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int32())])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, type=kind), pa.array(ids, type=pa.list_(pa.int64())), pa.array(scores, type=pa.list_(pa.float64()))], names=["key", "ids", "scores"])
+    if answered:
+        keys = asked.column("key").combine_chunks().take(pa.array(answered))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(ids, type=pa.list_(pa.int64())), pa.array(scores, type=pa.list_(pa.float64()))], names=["key", "ids", "scores"])

@@ -155,6 +155,31 @@ def test_decontamination_holds_its_recall_where_an_item_is_cut():
                 assert miss <= 1e-6
 
 
+def test_decontamination_of_tiny_and_repeated_items_at_any_threshold(spark):
+    rnd = random.Random(12)
+    items = [(i % 20, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 14)))) for i in range(60)]
+    items += [(7, items[0][1])] * 3 + [(7, items[1][1])]  # rows that repeat, whole or by id
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(300))) for i in range(40)] + [(100 + i, t) for i, (_, t) in enumerate(items[:10])]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    for threshold in (0.8, 0.3, 1.0):
+        want = Counter((d, i, len(q & s)) for d, t in rows for s in [shingles(t)] for i, x in items for q in [shingles(x)] if q and len(q & s) >= threshold * len(q) - 1e-9)
+        for size in (1 << 28, 20_000):
+            found = Counter((r.doc_id, r.item_id, r.n_shared) for r in contamination.find_items(docs, bench, threshold, block_bytes=size).collect())
+            assert found == want
+    with pytest.raises(ValueError):
+        contamination.Index([1], [" ".join(words(5000, 1, 10**6))], 0.001, 0.999999)
+
+
+def test_an_index_of_many_short_items_is_bounded(spark):
+    items = spark.range(30_000).selectExpr("id AS item_id", "array_join(transform(sequence(1, 20), i -> cast(xxhash64(id, i) AS string)), ' ') AS text")
+    items = items.unionByName(items.where("item_id = 1").crossJoin(spark.range(2_000).select()))  # and one row that repeats
+    blocks = contamination._blocks(items, "item_id", "text", 64 << 20, 0.8, 0.999999)
+    assert len(blocks) > 1 and sum(b.agg(F.sum("times")).first()[0] for b in blocks) == 32_000
+    import pickle
+
+    assert max(len(pickle.dumps(contamination._index(b, 0.8, 0.999999))) for b in blocks) <= 64 << 20
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, "same text here for two rows"), (None, "x")], "item_id long, text string")
     assert [(r.doc_id, r.containment) for r in contamination.find_items(edge_docs, bench).orderBy("doc_id").collect()] == [(7, 1.0), (7, 1.0), (8, 1.0)]
@@ -307,6 +332,42 @@ def test_neighbours_are_never_fewer_than_there_are(spark):
     assert {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df).collect()} == want and len(want) == 8 * 5 + 4 * 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 6])
+def test_neighbours_of_small_tables(spark, n):  # with six vectors every candidate is returned
+    rnd = np.random.default_rng(n)
+    for vectors in (rnd.normal(size=(n, 64)), np.eye(n), np.ones((n, 2)) * np.arange(1, n + 1)[:, None]):  # random, orthogonal, of one direction
+        rows = [(50 * i, v.tolist()) for i, v in enumerate(vectors)]
+        rows += [rows[0]] * 3  # repeated rows count once
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want = plain_nearest(dict(rows).items(), [i for i, _ in rows])
+        got = {}
+        for r in ann.nearest(df, df).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert {q: len(v) for q, v in got.items()} == {q: min(5, n - 1) for q in dict(rows) if n > 1}
+        for q, near in got.items():
+            assert [i for i, _ in near] == [i for i, _ in want[q]] and np.allclose([s for _, s in near], [s for _, s in want[q]], rtol=0, atol=1e-12)
+
+
+def test_an_id_with_several_vectors_counts_with_the_least(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (1, [0.5, -1.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (50, [0.0, 1.0]), (50, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = [(0, [1.0, 0.0]), (1, [0.5, -1.0]), (2, [1.0, 1.0]), (50, [0.0, -1.0])]
+    want = {(q, k + 1, i) for q, near in plain_nearest(once, [0, 1, 2, 50]).items() for k, (i, _) in enumerate(near)}
+    assert {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df).collect()} == want
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e300, -9e299]), (2, [3e-300, 1e-300]), (3, [1.0, 2.0]), (4, [-1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    want = plain_nearest(scaled, [i for i, _ in rows])
+    got = {}
+    for r in ann.nearest(df, df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, near in want.items():
+        assert [i for i, _ in got[q]] == [i for i, _ in near] and np.allclose([s for _, s in got[q]], [s for _, s in near], rtol=0, atol=1e-12)
+
+
 def test_recall_on_the_given_vectors(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     held = [(r.vec_id, r.embedding) for r in rows.collect()]
