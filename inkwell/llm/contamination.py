@@ -1,15 +1,18 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-A document's five-word shingles are cut into parts of at most ``PART`` shingles, and parts are classed by size. For each
-class of largest size c the number of hash functions is -ln(1 - recall) * (n + c) / s, for the item size n where that is most and
-the s shingles of it that must lie in the text. A part that holds h of them shares a minimum under one function with a chance of
-h / (n + c) at least, and the parts' h add up to s: however the text's parts cut an item of which ``threshold`` lies in the text,
-it shares a minimum with one of them with a probability of ``recall`` at least (one agreeing minimum makes a candidate).
+Documents are cut into parts of at most ``PART`` five-word shingles, and items are classed by the size of their shingle sets, each
+class with as many hash functions as its matches need: an item of n shingles of which s must lie in the text shares a minimum
+under one function with a part that holds h of them with a chance of h / (n + PART) at least, and the parts' h add up to s; so
+with -ln(1 - recall) * (n + PART) / s functions, however the parts cut it, it shares a minimum with one of them with a
+probability of ``recall`` at least (one agreeing minimum makes a candidate). Where the class would need more than
+``MOST`` functions (a low threshold) an error is raised, no recall is given up. Items of fewer than ``TINY`` shingles are
+found exactly: of any n - s + 1 of its shingles a match holds one.
 Candidates are confirmed on the whole text's set of shingles.
 
-Items are met in blocks of ``block_bytes`` of text, so that what is sent to the executors is bounded; the documents are
-read once for each block. Texts of documents and items with fewer than five words have one shingle, all their words;
-null and empty ones have none and match nothing. Repeated rows each give their rows.
+Items are met in blocks whose index is at most ``block_bytes`` (checked, but for a single item that is larger): so much goes to
+the executors at once. Documents are read once for each block; at the default a block has room for 100,000 items of twenty words.
+Texts of documents and items with fewer than five words have one shingle, all their words; null and empty ones have none and
+match nothing. Repeated rows each give their rows; items with a null id are left out.
 """
 
 from __future__ import annotations
@@ -19,102 +22,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import distinct_sorted, map_texts, shingle_hashes, small_batches
+from inkwell.llm.common import distinct_sorted, map_texts, pieces, shingle_hashes, small_batches, stored
 
-#: Shingles of a part at most.
+#: Items with fewer shingles are found exactly.
+TINY = 8
+#: The smallest items of each size class.
+CLASSES = (TINY, 16, 32, 64, 256)
+#: Shingles of a document's part at most.
 PART = 64
-_SCALE = np.random.default_rng(5).integers(1, 1 << 62, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hash functions of a class at most.
+MOST = 4096
+BLOCK_BYTES = 256 << 20
+
+
+def scales(n: int) -> np.ndarray:
+    """Odd multipliers, one for each hash function; the first ones stay the same whatever ``n`` is."""
+    return np.random.default_rng(5).integers(1, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def functions_needed(sizes: np.ndarray, threshold: float, recall: float) -> int:
+    """Hash functions for items of these sizes."""
+    n = int(_functions(sizes, threshold, recall).max())
+    if n > MOST:
+        raise ValueError(f"a containment of {threshold} asks for {n} hash functions, more than {MOST}")
+    return n
+
+
+def _functions(sizes: np.ndarray, threshold: float, recall: float) -> np.ndarray:
+    return np.maximum(1, np.ceil(-np.log(1 - recall) * (sizes + PART) / needed(sizes, threshold)))
+
+
+def needed(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Shared shingles of a match, by size of the item."""
+    return np.maximum(1, np.ceil(threshold * sizes - 1e-9)).astype(np.int64)
 
 
 class Index:
-    """The items' shingle sets and their minima under each hash function."""
+    """The items' shingle sets, and their minima under each hash function by size class."""
 
     def __init__(self, ids: list[int], texts: list[str], threshold: float, recall: float) -> None:
         hashes, at = distinct_sorted(*shingle_hashes(pa.array(texts, type=pa.string())))
-        sets = [(i, hashes[a:b]) for i, a, b in zip(ids, at[:-1], at[1:]) if b > a]
-        self.ids = [i for i, _ in sets]
-        self.sets = [s for _, s in sets]
-        self.threshold = threshold
-        sizes = np.unique([len(s) for s in self.sets] or [1])
-        needed = np.maximum(1, np.ceil(threshold * sizes - 1e-9))  # shared shingles of a match, by item size
-        self.classes = []  # (largest size, functions)
-        size = 4
-        while size <= PART:
-            need = max(1, int(np.ceil(-np.log(1 - recall) * ((sizes + size) / needed).max())))
-            self.classes.append((size, min(need, len(_SCALE))))
-            size *= 2
-        self.minima = []  # for each function: sorted minima, and their items
-        for k in range(max(n for _, n in self.classes)):
-            with np.errstate(over="ignore"):
-                low = np.array([(s * _SCALE[k]).min() for s in self.sets], dtype=np.uint64)
-            order = np.argsort(low, kind="stable")
-            self.minima.append((low[order], order))
-
-    def candidates(self, hashes: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item number) pairs of which a part and the item share a minimum."""
+        some = np.flatnonzero(np.diff(at) > 0)
+        self.ids = np.array(ids, dtype=np.int64)[some]
+        self.hashes, self.at = hashes, np.append(at[:-1][some], len(hashes))  # items without shingles take no room
+        sizes = np.diff(self.at)
+        self.need = needed(sizes, threshold)
+        tiny = np.flatnonzero(sizes < TINY)
+        probes = [(hashes[self.at[i] : self.at[i + 1] - self.need[i] + 1], i) for i in tiny.tolist()]
+        keys = np.concatenate([k for k, _ in probes]) if probes else np.zeros(0, np.uint64)
+        owner = np.repeat(tiny, [len(k) for k, _ in probes]).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        self.tiny = keys[order], owner[order]
+        self.classes, self.minima = [], []  # (shingles of a part, functions); for each function its multiplier, sorted minima and their items
+        for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 62)):
+            own = np.flatnonzero((sizes >= low) & (sizes < high)).astype(np.int32)
+            if not len(own):
+                continue
+            functions = functions_needed(sizes[own], threshold, recall)
+            place = np.repeat(self.at[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())
+            values, first = hashes[place], np.cumsum(sizes[own]) - sizes[own]
+            self.classes.append((PART, functions))
+            self.minima.append([])
+            for scale in scales(functions):
+                lows = _minima(values, first, scale)
+                order = np.argsort(lows, kind="stable")
+                self.minima[-1].append((scale, lows[order], own[order]))
+
+    def candidates(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(text, item number) rows, in order and once each, of which a part and the item share a minimum, or a tiny item's
+        shingle is in the text."""
         count = np.diff(at)
+        found = [_met(*self.tiny, hashes, np.repeat(np.arange(len(count)), count))]
         parts = -(-count // PART)
         text = np.repeat(np.arange(len(count)), parts)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = at[:-1][text] + number * PART
-        size = np.minimum(PART, at[1:][text] - begin)
-        found: set[tuple[int, int]] = set()
-        low = 0
-        for high, functions in self.classes:
-            own = np.flatnonzero((size > low) & (size <= high))
-            low = high
-            if not len(own):
-                continue
-            if len(own) == len(size):
-                values, first = hashes, begin
-            else:
-                place = np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-                values, first = hashes[place], np.cumsum(size[own]) - size[own]
-            for k in range(functions):
-                with np.errstate(over="ignore"):
-                    lows = np.minimum.reduceat(values * _SCALE[k], first)
-                known, items = self.minima[k]
-                left = np.searchsorted(known, lows)
-                for i in np.flatnonzero(known[np.minimum(left, len(known) - 1)] == lows).tolist():
-                    j = int(left[i])
-                    while j < len(known) and known[j] == lows[i]:
-                        found.add((int(text[own[i]]), int(items[j])))
-                        j += 1
-        return found
+        first = at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * PART
+        # a function's minima of the parts serve every class that has the function
+        for k in range(max((n for _, n in self.classes), default=0)):
+            lows = None
+            for (_, functions), minima in zip(self.classes, self.minima):
+                if k < functions:
+                    scale, known, items = minima[k]
+                    lows = _minima(hashes, first, scale) if lows is None else lows
+                    found.append(_met(known, items, lows, text))
+        return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item id, shared shingles, shingles of the item) where the item's containment reaches the threshold."""
         hashes, at = shingle_hashes(column)
-        if not len(hashes) or not self.sets:
+        if not len(hashes) or not len(self.ids):
             return []
         out, held, own = [], -1, np.zeros(0, np.uint64)
-        for t, k in sorted(self.candidates(hashes, at)):
+        for t, k in self.candidates(hashes, at).tolist():
             if t != held:
                 held, own = t, np.unique(hashes[at[t] : at[t + 1]])
-            item = self.sets[k]
+            item = self.hashes[self.at[k] : self.at[k + 1]]
             place = np.minimum(np.searchsorted(own, item), len(own) - 1)
             shared = int((own[place] == item).sum())
-            if shared >= self.threshold * len(item) - 1e-9:
-                out.append((t, self.ids[k], shared, len(item)))
+            if shared >= self.need[k]:
+                out.append((t, int(self.ids[k]), shared, len(item)))
         return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    rows = items.select(items[id_col].cast("long").alias("item_id"), F.coalesce(items[text_col], F.lit("")).alias("text")).where("item_id is not null")
-    total = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first().n or 0
-    n = int(total // block_bytes) + 1
-    # blocks by hash: of even size but for single long items; twice as many as needed keep them under the bound
-    n = n if n == 1 else 2 * n
-    return [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
+def _minima(values: np.ndarray, first: np.ndarray, scale: np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.minimum.reduceat(values * scale, first)
 
 
-def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall: float = 0.999999, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _met(known: np.ndarray, items: np.ndarray, asked: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """(text, item) rows of equal values; ``known`` is sorted."""
+    if not len(known):
+        return np.zeros((0, 2), np.int64)
+    left = np.searchsorted(known, asked)
+    hit = np.flatnonzero(known[np.minimum(left, len(known) - 1)] == asked)
+    left, right = left[hit], np.searchsorted(known, asked[hit], side="right")
+    size = right - left
+    place = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.column_stack((np.repeat(text[hit], size), items[place]))
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, threshold: float, recall: float) -> list[DataFrame]:
+    """The items in blocks by hash of the row, each with an index of at most ``block_bytes`` (or one item)."""
+    rows = items.select(items[id_col].cast("long").alias("item_id"), F.coalesce(items[text_col], F.lit("")).alias("text")).where("item_id is not null")
+    # rows that repeat are one row with their number; a text of b bytes has at most b / 2 + 1 shingles, each 8 bytes
+    rows = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    most = min(MOST, int(_functions(np.arange(TINY, 1 << 14), threshold, recall).max()))
+    size = (12 * most + F.octet_length("text") * 5 + 64) * F.col("times")
+    n = 1
+    while True:
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        sizes = rows.groupBy(block.alias("block")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()  # n rows
+        over = [r.bytes for r in sizes if r.bytes > block_bytes and r.rows > 1]
+        if not over:
+            return [rows.where(block == r.block) for r in sizes]
+        n = max(2 * n, int(2 * sum(r.bytes for r in sizes) // block_bytes))
+
+
+def _index(block: DataFrame, threshold: float, recall: float) -> Index:
+    held = block.collect()  # of the size that _blocks checked
+    return Index([r.item_id for r in held for _ in range(r.times)], [r.text for r in held for _ in range(r.times)], threshold, recall)
+
+
+def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall: float = 0.999999, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of each document and item of which ``threshold`` lies in the document."""
     schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
-    out = None
-    for block in _blocks(items, item_id_col, item_text_col, block_bytes):
-        held = block.collect()  # at most block_bytes, checked above
-        index = Index([r.item_id for r in held], [r.text for r in held], threshold, recall)
+    out, blocks = None, _blocks(items, item_id_col, item_text_col, block_bytes, threshold, recall)
+    for block in blocks:
+        index = _index(block, threshold, recall)
 
         def fn(batch: pa.RecordBatch, index: Index = index) -> dict | None:
             found = index.matches(batch.column(1))
@@ -123,28 +176,30 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall
             ids = batch.column(0).to_pylist()
             return {"doc_id": [ids[t] for t, *_ in found], "item_id": [i for _, i, _, _ in found], "n_shared": [s for _, _, s, _ in found], "n_item": [n for *_, n in found], "containment": [s / n for _, _, s, n in found]}
 
-        part = map_texts(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")], schema, fn)
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = map_texts(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")], schema, fn)
+        if len(blocks) > 1:  # so that one block's index is held at a time
+            found = stored(found, "found")
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
+def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall: float = 0.999999, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for block in _blocks(items, "item_id", "text", 32 << 20):
-        held = block.collect()
-        index = Index([r.item_id for r in held], [r.text for r in held], threshold, 0.999999)
+    blocks = _blocks(items, "item_id", "text", block_bytes, threshold, recall)
+    for block in blocks:
+        index = _index(block, threshold, recall)
 
         def run(batches, index: Index = index):
-            from inkwell.llm.common import pieces
-
             for batch in pieces(batches, text=at):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[t for t, *_ in index.matches(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if len(blocks) > 1:
+            docs = stored(docs, "clean")
     return docs
 
 
