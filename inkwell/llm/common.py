@@ -41,12 +41,14 @@ _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; where none is set, a temporary one on a local master (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="inkwell-"))

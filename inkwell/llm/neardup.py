@@ -270,15 +270,18 @@ def compare(members: DataFrame, marked: DataFrame, every: bool, percent: int) ->
 def _rest(large: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
     """Pairs between members of a large node outside its largest component and all its members of other components.
 
-    Members meet in blocks of about 64 (of documents by hash): a row holds two blocks, not two documents."""
+    Members meet in blocks of about 64 (of documents by hash): a row holds two blocks, not two documents. Blocks meet by node and
+    block number, so a node of very many members is spread over as many keys as it has blocks."""
     rows = large.select("node", "doc", "n").join(marked, "doc")
     often = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / 64).cast("long"))
+    blocks = F.ceil(F.col("n") / 64).cast("long")
+    block = F.pmod(F.xxhash64("doc"), blocks)
 
     def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("doc", "label", "signature")).alias(name)).select("node", name)
+        return df.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("doc", "label", "signature")).alias(name), F.max("n").alias("n"))
 
     odd = packed(rows.join(stored(often, "mains"), "node").where("label <> main"), "odd")
+    odd = odd.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "odd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,7 +293,7 @@ def _rest(large: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
                 i, j = np.nonzero((same >= likely(x.shape[1], percent)) & (k[:, None] != m[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[i], e[j])), pa.array(np.maximum(d[i], e[j]))], names=["a", "b"])
 
-    return packed(rows, "all").join(odd, "node").select("odd", "all").mapInArrow(run, "a long, b long").distinct()
+    return packed(rows, "all").join(odd, ["node", "block"]).select("odd", "all").mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- confirming -----------------------------------------------------------------------------------------------

@@ -21,6 +21,8 @@ from inkwell.llm.common import map_texts, texts_of
 
 #: Words of one generation of a worker's memory (a bound on memory, not on results).
 MEMO = 150_000
+#: Letters of a word that is remembered at most: longer runs (scripts without spaces, encoded data) seldom come again.
+MEMO_LETTERS = 64
 
 
 def byte_letters() -> list[str]:
@@ -46,6 +48,8 @@ class Memo(dict):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
+            if len(word) > MEMO_LETTERS:
+                return value
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()

@@ -93,6 +93,23 @@ def test_large_nodes_are_cut_and_compared_whole(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_the_last_step_meets_a_node_of_10_000_members(spark):
+    rnd = np.random.default_rng(6)
+    n, odd = 10_000, 60
+    signature = rnd.integers(0, 1 << 32, (n, neardup.LONG), dtype=np.uint32)
+    for i in range(odd):  # members of other components, each like three others
+        for k in (5000 + i, 7000 + i, (i + 1) % odd):
+            same = rnd.choice(neardup.LONG, 240, replace=False)
+            signature[k, same] = signature[i, same]
+    label = np.where(np.arange(n) < odd, np.arange(n), 9999)
+    rows = [(i, int(label[i]), signature[i].tobytes()) for i in range(n)]
+    marked = spark.createDataFrame(rows, "doc long, label long, signature binary")
+    large = marked.select(F.lit(1).cast("long").alias("node"), "doc", F.lit(n).cast("long").alias("n"))
+    got = neardup._rest(large, marked, 85).collect()
+    want = {(min(i, j), max(i, j)) for i in range(odd) for j in np.flatnonzero((signature == signature[i]).sum(1) >= neardup.likely(neardup.LONG)).tolist() if label[i] != label[j]}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) >= 2 * odd
+
+
 def test_the_stage_drops_copies_from_80_percent(spark, tmp_path):
     rows = []
     for i in range(30):  # 200 words with four changed ones apart: 176 common of 216 shingles, 0.815
@@ -198,6 +215,34 @@ def test_quality_on_held_out_rows(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
 
 
+def test_quality_equals_a_plain_solve(spark):
+    """Statistics aside, every step again in plain numpy: moments, ridge on all and on the other fold, bins, least squares under order."""
+    path = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rows = docs.select("doc_id", "text").toArrow()
+    ids = rows.column("doc_id").to_pylist()
+    x = quality.statistics(rows.column("text").combine_chunks()).astype(np.float32).astype(float)
+    y_of = {r.doc_id: float(r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    own = [i for i, d in enumerate(ids) if d in y_of]
+    y, part = np.array([y_of[ids[i]] for i in own]), np.array([zlib.crc32(str(ids[i]).encode()) % 3 for i in own])
+    z = quality.Features(x[own].mean(0), x[own].std(0))(x)
+    penalty = np.diag([1e-6] + [1.0] * (z.shape[1] - 1))
+    ridge = lambda a, b: np.linalg.solve(a.T @ a + penalty, a.T @ b)
+    t = z[own]
+    other = {k: ridge(t[part != k], y[part != k]) for k in (0, 2)}
+    s = np.array([row @ other[k] for row, k in zip(t, part.tolist())])
+    place = np.clip(((s + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = np.unique(place)
+    n, sx, sy = (np.bincount(place, v, quality.BINS)[bins] for v in (np.ones(len(s)), s, y))
+    # the order-constrained means by their max-min formula, then blocks of equal value
+    fit = np.array([max(min(sy[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(n))) for a in range(i + 1)) for i in range(len(n))])
+    blocks = np.flatnonzero(np.concatenate(([True], np.diff(fit) > 1e-12)))
+    knots = np.add.reduceat(sx, blocks) / np.add.reduceat(n, blocks)
+    want = np.clip(np.interp(z @ ridge(t, y), knots, fit[blocks]), 0, 1)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    assert max(abs(got[d] - w) for d, w in zip(ids, want)) < 1e-6 and len(set(want.tolist())) > 3
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(1, None), (None, 1)], "doc_id long, quality int")
     rows = quality.score_documents(edge_docs, labels).collect()
@@ -241,6 +286,38 @@ def test_lm_base_equals_plain_counts(spark, monkeypatch):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_lm_score_is_the_chance_of_the_text(spark, monkeypatch):
+    """The composed score against a plain walk over each text: the recurrent cell, the class, the member or the tail's share."""
+    monkeypatch.setattr(lm, "KNOWN", 600)  # so that there are tail words in the table and others that take the join
+    rows = [(i, " ".join(words(30 + i % 50, i, 1500))) for i in range(150)] + [(1000, None), (1001, "unheard of words here"), (1002, " \n ")]
+    seen = {}
+    train = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda learn, vocabulary: seen.update(w=train(learn, vocabulary), v=vocabulary) or seen["w"])
+    got = {r.doc_id: r.score for r in lm.score_documents(documents(spark, rows)).collect()}
+    tokens = {i: [t.encode() for t in WORD.findall((t or "").translate(LOW))] + [b""] for i, t in rows}
+    counts = Counter(w for i, x in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in x)
+    w, place = {k: v.astype(float) for k, v in seen["w"].items()}, {x: i for i, x in enumerate(seen["v"].words[: gru.VOCAB])}
+    tail = {k: [n for x, n in counts.items() if x not in place and lm.tail_class(x) == gru.VOCAB + k] for k in range(gru.TAILS)}
+    sigmoid, H = lambda a: 1 / (1 + np.exp(-a)), gru.HIDDEN
+    softmax = lambda a: a - np.log(np.exp(a - a.max()).sum()) - a.max()
+    for i, text in tokens.items():
+        h, before, total = np.zeros(H), gru.BEGIN, 0.0
+        for x in text:
+            g, u = w["E"][before] @ w["W"] + w["b"], h @ w["U"]
+            z, r = sigmoid(g[:H] + u[:H]), sigmoid(g[H : 2 * H] + u[H : 2 * H])
+            new = np.tanh(g[2 * H :] + r * u[2 * H :])
+            h = (1 - z) * new + z * h
+            before = place.get(x, lm.tail_class(x))
+            k = before // gru.MEMBERS if before < gru.VOCAB else gru.VOCAB // gru.MEMBERS + before - gru.VOCAB
+            total += softmax(h @ w["C"] + w["c"])[k]
+            if before < gru.VOCAB:
+                total += softmax(h @ w["M"][k] + w["m"][k])[before % gru.MEMBERS]
+            else:
+                own = tail[before - gru.VOCAB]
+                total += math.log((counts.get(x, 0) + 0.1) / (sum(own) + 0.1 * (len(own) + 1)))
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4, abs_tol=1e-3), i
+
+
 def test_lm_learns_and_takes_edges(spark, edge_docs, no_docs):
     rows = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

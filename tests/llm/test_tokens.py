@@ -83,3 +83,14 @@ def test_rows(spark, edge_docs, no_docs):
 def test_missing_file_fails_on_the_driver(edge_docs):
     with pytest.raises(FileNotFoundError):
         tokens.count_tokens(edge_docs, "/nowhere.json")
+
+
+def test_long_words_are_not_remembered():
+    memo = tokens.Memo(len)
+    assert memo["x" * 5000] == 5000 and memo["short"] == 5 and list(memo) == ["short"]
+
+
+def test_decoding_takes_null_ids_and_an_empty_table(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (None, [320])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in tokens.decode_ids(rows, WORDS).collect()} == {1: "", 2: "", None: tokens.encoder(WORDS).decode([320])}
+    assert tokens.decode_ids(rows.where("false"), WORDS).count() == 0
