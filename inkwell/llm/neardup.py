@@ -12,7 +12,7 @@ compared exhaustively by signature, and pairs that look similar are confirmed on
    which joins large groups of copies by few pairs;
 2. then all pairs of a node that are not in one component yet (other pairs can't change a component), by longer signatures
    of the documents in such nodes;
-3. nodes that are still large after ``DEPTH`` levels are cut into pieces that share two members; afterwards every member
+3. nodes that are still large after ``DEPTH`` levels, or of documents so alike that branching no longer parts them, are cut into pieces that share two members; afterwards every member
    outside the node's largest component is compared with all members, block by block.
 
 No row, pair or node is dropped or capped. Null and empty texts have an empty set and are linked with nothing; rows with a
@@ -21,6 +21,7 @@ null id are linked with nothing and get a null component; rows that repeat an id
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,36 +147,42 @@ def _first_level(standing: DataFrame, trees: int, second: float) -> DataFrame:
 
 
 def _next_level(rows: DataFrame, standing: DataFrame, second: float) -> DataFrame:
+    """(node, doc, parent): the children's rows, with the size of the node that they come from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(1).to_numpy()
-            rows, keys = children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(2)), second)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc[rows])], names=["node", "doc"])
+            rows, keys = children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(3)), second)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(b.column(c).take(pa.array(rows)) for c in (1, 2))], names=["node", "doc", "parent"])
 
-    return rows.join(standing, "doc").select("node", "doc", "signature").mapInArrow(run, "node long, doc long")
+    return rows.join(standing, "doc").select("node", "doc", "n", "signature").mapInArrow(run, "node long, doc long, parent long")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """(node, doc, n) of the rows in nodes of two and more. Sizes are written first: a join of two plain exchanges lets
-    Spark split a node that holds a large share of all rows."""
-    n = stored(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    return rows.join(n, "node").select("node", "doc", "n")
+def _sized(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, doc, n, tight) of the rows in nodes of two and more; a node is tight if it kept such a share of its parent's
+    documents that they are as similar on average as links are. Sizes are written first: a join of two plain exchanges
+    lets Spark split a node that holds a large share of all rows."""
+    n = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where("n > 1")
+    n = stored(n.select("node", "n", (F.col("n") * 100.0 >= F.col("parent") * float(percent)).alias("tight")), "sizes")
+    return rows.join(n, "node").select("node", "doc", "n", "tight")
 
 
-def nodes(standing: DataFrame, trees: int, second: float) -> tuple[DataFrame, DataFrame]:
-    """(node, doc) of all small nodes, and (node, doc, n) of those that are still large on the last level."""
-    level = stored(_sized(stored(_first_level(standing, trees, second), "paths")), "nodes")
-    small = [level.where(F.col("n") <= SMALL).select("node", "doc")]
+def nodes(standing: DataFrame, trees: int, second: float, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, doc) of all small nodes, and (node, doc, n) of large ones that are tight or on the last level: in a tight node
+    further levels would part few pairs and only repeat its documents."""
+    first = _first_level(standing, trees, second).withColumn("parent", F.lit(1 << 62))
+    level = stored(_sized(stored(first, "paths"), percent), "nodes")
+    small, large = [level.where(F.col("n") <= SMALL).select("node", "doc")], []
     for _ in range(1, DEPTH):
-        large = level.where(F.col("n") > SMALL)
-        if large.limit(1).count() == 0:
+        many = level.where(F.col("n") > SMALL)
+        large.append(many.where("tight").select("node", "doc", "n"))
+        wide = many.where("not tight").select("node", "doc", "n")
+        if wide.limit(1).count() == 0:
+            level = level.where("false")
             break
-        level = stored(_sized(stored(_next_level(large.select("node", "doc"), standing, second), "paths")), "nodes")
+        level = stored(_sized(stored(_next_level(wide, standing, second), "paths"), percent), "nodes")
         small.append(level.where(F.col("n") <= SMALL).select("node", "doc"))
-    out = small[0]
-    for s in small[1:]:
-        out = out.unionByName(s)
-    return out, level.where(F.col("n") > SMALL)
+    large.append(level.where(F.col("n") > SMALL).select("node", "doc", "n"))
+    return functools.reduce(DataFrame.unionByName, small), functools.reduce(DataFrame.unionByName, large)
 
 
 def _pieces(large: DataFrame) -> DataFrame:
@@ -339,7 +346,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, trees: int | None = None,
     classes = stored(classes, "classes")
     texts = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text")).where("doc is not null")
     standing = classes.select("doc", "signature")
-    small, large = nodes(standing, trees or trees_for(percent), second_place(percent))
+    small, large = nodes(standing, trees or trees_for(percent), second_place(percent), percent)
     hard = large.limit(1).count() > 0
     members = stored(small.unionByName(_pieces(large)) if hard else small, "members")
 
