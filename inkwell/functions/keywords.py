@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import round_to
 
-WORD = r"(?i)[a-z](?:[a-z0-9+.\-]*[a-z0-9+])?"
+# Fixed value: what counts as a word of a keyword.
+WORD = r"(?i)[a-z](?:[a-z0-9+.-]*[a-z0-9+])?"
 # Fixed value: words that no keyword holds.
 STOP_WORDS = (
     "about after against also among and are based been before being between both but can could does each for from have into its more most not our over"
@@ -19,13 +22,18 @@ def words(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), 0), F.lower)
 
 
-def phrases(tokens: Column, weight: float) -> Column:
-    """array of struct(phrase, w): all runs of up to three words without stop words."""
-    stops = F.array(*map(F.lit, STOP_WORDS))
+def stop_flags(tokens: Column) -> Column:
+    """Which of the words are stop words. To be a column of its own: each word is looked up once."""
+    return F.transform(tokens, lambda w: w.isin(*STOP_WORDS))
+
+
+def phrases(tokens: Column, stops: Column, weight: float) -> Column:
+    """array of struct(phrase, w): all runs of up to three words without stop words; ``stops`` flags the words."""
+
     def of_length(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs = F.filter(F.transform(starts, lambda i: F.slice(tokens, i, n)), lambda r: ~F.arrays_overlap(r, stops))
-        return F.transform(runs, lambda r: F.struct(F.array_join(r, " ").alias("phrase"), F.lit(weight * (1 + 0.55 * (n - 1))).alias("w")))
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        fine = F.filter(starts, lambda i: ~functools.reduce(Column.__or__, (F.get(stops, i + k) for k in range(n))))
+        return F.transform(fine, lambda i: F.struct(F.concat_ws(" ", *(F.get(tokens, i + k) for k in range(n))).alias("phrase"), F.lit(weight * (1 + 0.55 * (n - 1))).alias("w")))
 
     return F.concat(*map(of_length, (1, 2, 3)))
 
@@ -59,7 +67,8 @@ def totals(df, id_col: str, title: str, body: str):
 
     Words are a column of their own first: inside a lambda the whole expression would be evaluated for each run."""
     split = df.select(id_col, words(F.col(title)).alias("_t"), words(F.col(body)).alias("_b"))
-    rows = split.select(id_col, F.explode(F.concat(phrases(F.col("_t"), 4.0), phrases(F.col("_b"), 1.0))).alias("x")).where(F.char_length("x.phrase") >= 4)
+    split = split.select("*", stop_flags(F.col("_t")).alias("_ts"), stop_flags(F.col("_b")).alias("_bs"))
+    rows = split.select(id_col, F.explode(F.concat(phrases(F.col("_t"), F.col("_ts"), 4.0), phrases(F.col("_b"), F.col("_bs"), 1.0))).alias("x")).where(F.char_length("x.phrase") >= 4)
     return rows.groupBy(id_col, F.col("x.phrase").alias("phrase")).agg(round_to(F.sum("x.w"), 3).alias("score"))
 
 

@@ -11,6 +11,7 @@ SPACE = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u2
 BREAK = r"(?:\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029])"
 # Fixed value: words that scoring ignores.
 STOP_WORDS = "a an and are as at be by for from in into is it of on or that the their this to using we with".split()
+# Fixed value: what counts as a word in scoring.
 TOKEN = r"[a-z0-9]+(?:[-'][a-z0-9]+)?"
 
 

@@ -70,3 +70,16 @@ def keyword_order(keywords: DataFrame) -> DataFrame:
 
 def manifest_order(sources: DataFrame) -> DataFrame:
     return sources.orderBy("content_kind", F.lower("category"), F.lower("title"), "url")
+
+
+def profile_order(profiles: DataFrame) -> DataFrame:
+    return profiles.orderBy("content_kind")
+
+
+def export_order(exports: DataFrame) -> DataFrame:
+    return exports.orderBy("entry_id")
+
+
+def archive_order(archives: DataFrame, entry_id: int) -> DataFrame:
+    """An entry's archives, latest first."""
+    return archives.where(F.col("entry_id") == entry_id).orderBy(F.desc("archived_at"), F.desc("id"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as tx
+from inkwell.operators import paging
 
 # Weights of the score's parts, percentiles of a cold start, and the limits of learning.
 WEIGHTS = {"interest": 70, "lexical": 25, "feedback": 15, "source": 5, "exclusion": -25}
@@ -16,6 +17,7 @@ INCLUDE_EACH, INCLUDE_MOST = 5, 10
 PERCENTILES = {"broad": 0.70, "balanced": 0.90, "focused": 0.95}
 KEEPS, DISCARDS, STEP, TRUE_POSITIVES = 5, 15, 3.0, 5
 EMPTY_PERCENTILE = 50.0
+RECENT = 200
 PLACEHOLDER = "__none__"
 QUERIES = ("interest", "exclusion", "positive", "negative")
 
@@ -42,6 +44,40 @@ class Profile:
             raise ValueError("a threshold is between 0 and 100")
 
 
+@dataclass(frozen=True)
+class ProfileUpdate:
+    """A partial change of a profile: what is None stays. ``threshold`` counts only with ``threshold_set`` (None: back to automatic)."""
+
+    interests: tuple[str, ...] | None = None
+    exclusions: tuple[str, ...] | None = None
+    include: tuple[str, ...] | None = None
+    never: tuple[str, ...] | None = None
+    selectivity: str | None = None
+    target_precision: float | None = None
+    threshold: float | None = None
+    threshold_set: bool = False
+
+
+def updated(profile: Profile, change: ProfileUpdate) -> Profile:
+    """The profile after a change. A new definition makes a learned threshold void: it is automatic again unless the same
+    change sets one. A better precision to aim at is no new definition."""
+    given = {k: v for k, v in asdict(change).items() if v is not None and k not in ("threshold", "threshold_set")}
+    redefined = bool(given.keys() - {"target_precision"})
+    if change.threshold_set:
+        given |= {"threshold": change.threshold, "mode": "auto" if change.threshold is None else "manual"}
+    elif redefined:
+        given |= {"threshold": None, "mode": "auto"}
+    return replace(profile, **given)
+
+
+def with_defaults(profiles: list[Profile], interests: dict[str, tuple[str, ...]]) -> list[Profile]:
+    """The given profiles and, for each kind of ``interests`` that has none, a balanced automatic one; ordered by kind."""
+    have = {p.kind for p in profiles}
+    free = max((p.id for p in profiles), default=0) + 1
+    missing = [kind for kind in interests if kind not in have]
+    return sorted([*profiles, *(Profile(free + i, kind, tuple(interests[kind])) for i, kind in enumerate(missing))], key=lambda p: p.kind)
+
+
 def term_frequencies(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(id_col, F.explode(tx.tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -50,12 +86,21 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tfidf(tf: DataFrame, id_col: str, documents: Column | int) -> DataFrame:
-    """(id, term, w): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to length one (a zero vector stays)."""
+def raw_weights(tf: DataFrame, documents: Column | int) -> DataFrame:
+    """(id, term, tf, df, w): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1)."""
     n = F.lit(documents) if isinstance(documents, int) else documents
-    raw = tf.join(document_frequencies(tf), "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
+    return tf.join(document_frequencies(tf), "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+
+
+def norms(weights: DataFrame, id_col: str) -> DataFrame:
+    """(id, norm): the length of each weight vector."""
+    return weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def tfidf(tf: DataFrame, id_col: str, documents: Column | int) -> DataFrame:
+    """(id, term, w): the raw weights scaled to length one (a zero vector stays)."""
+    raw = raw_weights(tf, documents)
+    return raw.join(norms(raw, id_col), id_col).select(id_col, "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
 def sparse_dot(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
@@ -142,10 +187,10 @@ def learned_threshold(curve: DataFrame, target: float) -> DataFrame:
 
 def choose_threshold(rows: DataFrame, profile: Profile, feedback: DataFrame) -> tuple[float, str]:
     """(threshold, reason). Manual stays; without enough feedback the percentile of scores that aren't blocked; else the
-    smallest safe score, at most three points from the current threshold."""
+    smallest safe score, at most three points from the current threshold. Only the profile's latest RECENT rows of feedback count."""
     if profile.mode == "manual" and profile.threshold is not None:
         return profile.threshold, "manual"
-    own = feedback.where(F.col("profile_id") == profile.id)
+    own = paging.recent_feedback(feedback, profile.id, RECENT)
     n = own.agg(F.count_if(F.col("label") == "keep").alias("k"), F.count_if(F.col("label") == "discard").alias("d")).first()
     share = PERCENTILES[profile.selectivity]
     cold = rows.where("not blocked").agg(percentile("score", share).alias("t"))
@@ -180,7 +225,7 @@ def rescore(entries: DataFrame, profile: Profile, feedback: DataFrame, embed=Non
     if it fails, TF-IDF is used and the problem noted. ``entries`` has id, source_id, title, content, source_title, category, content_kind."""
     own = entries.where(F.col("content_kind") == profile.kind)
     own = own.withColumn("entry_text", tx.entry_text(F.col("title"), F.col("content"), F.col("source_title"), F.col("category")))
-    recent = feedback.where(F.col("profile_id") == profile.id).orderBy(F.desc("updated_at"), F.desc("entry_id")).limit(200)
+    recent = paging.recent_feedback(feedback, profile.id, RECENT)
     said = recent.select(F.col("entry_id").alias("id"), "label", "updated_at").join(own.select("id", "entry_text"), "id").orderBy(F.desc("updated_at"), F.desc("id")).collect()
     texts = query_texts(profile, *("\n".join(r.entry_text for r in said if r.label == k) for k in ("keep", "discard")))
     problems, used = [], "tfidf-v1"

@@ -327,37 +327,28 @@ _W = _TF[:-1] + ", raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1.0 +
 
 @query(_W + "SELECT id, round(norm, 6) AS norm FROM norm")
 def l2_norm(d: Domain) -> DataFrame:
-    tf = _tf(d)
-    n = d.entries.count()
-    w = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    raw = tf.join(ranking.document_frequencies(tf), "term").withColumn("w", w)
-    return raw.groupBy("id").agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"))
+    raw = ranking.raw_weights(_tf(d), d.entries.count())
+    return ranking.norms(raw, "id").select("id", F.round("norm", 6).alias("norm"))
 
 
-@query(_W + "SELECT id, term, round(w / norm, 6) AS w FROM raw JOIN norm USING (id) WHERE id % 10 = 3")
+@query(_W + "SELECT id, term, round(w / norm, 6) AS w FROM raw JOIN norm USING (id)")
 def tfidf(d: Domain) -> DataFrame:
-    return ranking.tfidf(_tf(d), "id", d.entries.count()).where("id % 10 = 3").select("id", "term", F.round("w", 6).alias("w"))
-
-
-@query()
-def tfidf_all(d: Domain) -> DataFrame:
-    """Every document; ``tfidf`` covers the ids that its SQL states."""
     return ranking.tfidf(_tf(d), "id", d.entries.count()).select("id", "term", F.round("w", 6).alias("w"))
 
 
-@query(_W + "SELECT a.id, b.item, round(sum(a.w / n.norm * b.w), 6) AS dot FROM raw a JOIN norm n USING (id) JOIN (SELECT id AS item, term, w / norm AS w FROM raw JOIN norm USING (id) WHERE id < 5) b USING (term) GROUP BY a.id, b.item")
+@query(_W + "SELECT a.id, b.item, round(sum(a.w / n.norm * b.w), 6) AS dot FROM raw a JOIN norm n USING (id) JOIN (SELECT id AS item, term, w / norm AS w FROM raw JOIN norm USING (id) WHERE id % 500 = 0) b USING (term) GROUP BY a.id, b.item")
 def sparse_dot(d: Domain) -> DataFrame:
-    """Every document against a query set: the documents with ids below 5 (none of them, no rows)."""
+    """Every document against a query set: the documents whose id is divisible by 500."""
     w = ranking.tfidf(_tf(d), "id", d.entries.count())
-    dots = ranking.sparse_dot(w, w.where("id < 5").withColumnRenamed("id", "item"), "id", "item")
+    dots = ranking.sparse_dot(w, w.where("id % 500 = 0").withColumnRenamed("id", "item"), "id", "item")
     return dots.select("id", "item", F.round("dot", 6).alias("dot"))
 
 
-@query("SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id < 10")
+@query("SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id % 50 = 0")
 def dense_cosine(d: Domain) -> DataFrame:
-    """Every vector against the vectors of its label in a query set: those with ids below 10 (none of them, no rows)."""
+    """Every vector against the vectors of its label in a query set: those whose id is divisible by 50."""
     e = d.table("embeddings")
-    small = e.where("vec_id < 10").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("b"))
+    small = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("b"))
     return e.join(small, "label").select("vec_id", "other", F.round(ranking.dense_cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
 
 
@@ -389,12 +380,30 @@ def min_safe_threshold(d: Domain) -> DataFrame:
     return ranking.learned_threshold(_curve(d), 0.75)
 
 
-@query("SELECT f.label, string_agg(e.title, chr(10) ORDER BY f.updated_at DESC, f.entry_id DESC, e.title DESC) AS joined FROM feedback f JOIN entries e ON e.id = f.entry_id GROUP BY f.label")
+_RECENT = ", recent AS (SELECT * FROM feedback WHERE profile_id = 1 ORDER BY updated_at DESC, entry_id DESC LIMIT 200)\n"
+
+
+@query(_RECENT + "SELECT f.label, string_agg(e.title, chr(10) ORDER BY f.updated_at DESC, f.entry_id DESC, e.title DESC) AS joined FROM recent f JOIN entries e ON e.id = f.entry_id GROUP BY f.label")
 def text_concat(d: Domain) -> DataFrame:
-    rows = d.feedback.join(d.entries.select(F.col("id").alias("entry_id"), "title"), "entry_id")
+    """The texts that a profile's feedback queries are made of: those of its latest 200 rows."""
+    rows = paging.recent_feedback(d.feedback, 1).join(d.entries.select(F.col("id").alias("entry_id"), "title"), "entry_id")
     return counts.joined_text(rows, "label", "title", ["updated_at", "entry_id"])
 
 
+@query(_RECENT + """, cold AS (SELECT quantile_disc(score, 0.9) AS t FROM rankings WHERE profile_id = 1),
+labelled AS (SELECT r.score, f.label FROM rankings r JOIN recent f ON f.entry_id = r.entry_id WHERE r.profile_id = 1),
+curve AS (SELECT DISTINCT score, count_if(label = 'keep') OVER w AS tp, count_if(label = 'keep') OVER w / count(*) OVER w AS precision FROM labelled WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+learned AS (SELECT min(score) AS t FROM curve WHERE tp >= 5 AND precision >= 0.6), gate AS (SELECT count_if(label = 'keep') AS k, count_if(label = 'discard') AS d FROM recent)
+SELECT CASE WHEN k < 5 OR d < 15 THEN cold.t WHEN learned.t IS NULL THEN 40.0 ELSE greatest(37.0, least(43.0, learned.t)) END AS threshold,
+  CASE WHEN k < 5 OR d < 15 THEN 'cold-start' WHEN learned.t IS NULL THEN 'adaptive-no-safe-threshold' ELSE 'adaptive-feedback' END AS reason FROM cold, learned, gate""")
+def adaptive_threshold(d: Domain) -> DataFrame:
+    """The threshold that a profile learns from its latest 200 rows of feedback, at most three points from the present one."""
+    profile = ranking.Profile(1, "paper", ("x",), target_precision=0.6, threshold=40.0)
+    rows = d.rankings.where("profile_id = 1").select(F.col("entry_id").alias("id"), "score", F.lit(False).alias("blocked"))
+    threshold, reason = ranking.choose_threshold(rows, profile, d.feedback)
+    return d.spark.createDataFrame([(float(threshold), reason)], "threshold double, reason string")
+
+
 @query("SELECT category FROM src UNION SELECT category FROM es")
 def categories_union(d: Domain) -> DataFrame:
     return counts.categories(d.sources, joins.with_sources(d.entries, d.sources))
@@ -558,6 +567,23 @@ def locator(d: Domain) -> DataFrame:
     return d.entries.select("id", ids.locator(raw).alias("l")).select("id", "l.scheme", "l.value")
 
 
+# An address inside and beside each range that is not public, and whether a page there may be fetched.
+_ADDRESSES = {
+    "0.1.2.3": 0, "1.0.0.1": 1, "10.255.0.1": 0, "11.0.0.1": 1, "100.63.9.9": 1, "100.64.0.1": 0, "100.127.255.254": 0, "100.128.0.1": 1, "127.0.0.1": 0, "128.0.0.1": 1, "169.254.1.1": 0,
+    "169.253.1.1": 1, "172.15.0.1": 1, "172.16.0.1": 0, "172.31.9.9": 0, "172.32.0.1": 1, "192.0.0.9": 0, "192.0.1.9": 1, "192.0.2.1": 0, "192.168.1.1": 0, "192.169.1.1": 1, "198.17.0.5": 1,
+    "198.18.0.5": 0, "198.19.0.5": 0, "198.20.0.5": 1, "198.51.100.7": 0, "198.51.101.7": 1, "203.0.113.9": 0, "203.0.114.9": 1, "223.255.255.1": 1, "224.0.0.1": 0, "240.0.0.1": 0, "255.255.255.255": 0,
+    "[::1]": 0, "[::]": 0, "[fe80::1]": 0, "[fd12:3456::1]": 0, "[ff02::1]": 0, "[2001:db8::1]": 0, "[2606:4700::1111]": 1, "[2001:4860:4860::8888]": 1, "[::ffff:10.0.0.1]": 0, "[::ffff:8.8.8.8]": 1,
+    "localhost": 0, "printer.local": 0, "example.org": 1, "10.example.org": 1,
+}
+
+
+@query(f"SELECT id, ([{', '.join(map(repr, _ADDRESSES))}])[CAST(id % {len(_ADDRESSES)} + 1 AS INTEGER)] AS address, ([{', '.join(map(str, _ADDRESSES.values()))}])[CAST(id % {len(_ADDRESSES)} + 1 AS INTEGER)] = 1 AS open FROM entries")
+def public_address(d: Domain) -> DataFrame:
+    address = F.element_at(F.array(*map(F.lit, _ADDRESSES)), (F.col("id") % len(_ADDRESSES) + 1).cast("int"))
+    rows = d.entries.select("id", address.alias("address"))
+    return rows.select("id", "address", ids.locator(F.concat(F.lit("https://"), "address", F.lit("/p")))["scheme"].eqNullSafe("url").alias("open"))
+
+
 @query("SELECT id, 'generated:' || sha256(concat_ws(chr(31), title, url, coalesce(published_at, ''))) AS guid FROM entries")
 def guid_sha(d: Domain) -> DataFrame:
     return d.entries.select("id", ids.generated_guid(F.col("title"), F.col("url"), F.col("published_at")).alias("guid"))
@@ -578,34 +604,21 @@ _LINE = f"trim(regexp_replace(content, '{_SP}+', ' ', 'g'))"
 _SENTENCES = f"string_split(regexp_replace({_LINE}, '([.!?]) ([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), chr(30))"
 
 
-@query(f"SELECT id, len(s) AS n, s[1] AS first FROM (SELECT id, {_SENTENCES} AS s FROM entries WHERE NOT regexp_matches(content, '[A-Z0-9][.!?] [A-Z0-9]'))")
+@query(f"SELECT id, len(s) AS n, s[1] AS first FROM (SELECT id, {_SENTENCES} AS s FROM entries)")
 def sentences(d: Domain) -> DataFrame:
     s = tx.sentences(tx.collapse_strip(F.col("content")))
-    return d.entries.where(~F.col("content").rlike("[A-Z0-9][.!?] [A-Z0-9]")).select("id", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"))
+    return d.entries.select("id", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"))
 
 
 def _summary_sql() -> str:
     text = f"CASE WHEN {_LINE} = '' THEN trim(regexp_replace(title, '{_SP}+', ' ', 'g')) ELSE {_LINE} END"
     one, two, three = "s[1]", "s[1] || ' ' || s[2]", "s[1] || ' ' || s[2] || ' ' || s[3]"
     picked = f"CASE WHEN len(s) = 1 OR length({one}) >= 600 OR length({two}) > 600 THEN {one} WHEN len(s) = 2 OR length({two}) >= 600 OR length({three}) > 600 THEN {two} ELSE {three} END"
-    return f"SELECT id, CASE WHEN t = '' THEN 'No summary is available.' ELSE {_trim('p', 600)} END AS summary FROM (SELECT id, t, {picked} AS p FROM (SELECT id, {text} AS t, {_SENTENCES} AS s FROM entries WHERE NOT regexp_matches(content, '[A-Z0-9][.!?] [A-Z0-9]')))"
+    return f"SELECT id, CASE WHEN t = '' THEN 'No summary is available.' ELSE {_trim('p', 600)} END AS summary FROM (SELECT id, t, {picked} AS p FROM (SELECT id, {text} AS t, {_SENTENCES} AS s FROM entries))"
 
 
 @query(_summary_sql())
 def summary(d: Domain) -> DataFrame:
-    return d.entries.where(~F.col("content").rlike("[A-Z0-9][.!?] [A-Z0-9]")).select("id", tx.summary(F.col("title"), F.col("content")).alias("summary"))
-
-
-@query()
-def sentences_all(d: Domain) -> DataFrame:
-    """Every entry; ``sentences`` covers the rows that its SQL states."""
-    s = tx.sentences(tx.collapse_strip(F.col("content")))
-    return d.entries.select("id", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"))
-
-
-@query()
-def summary_all(d: Domain) -> DataFrame:
-    """Every entry; ``summary`` covers the rows that its SQL states."""
     return d.entries.select("id", tx.summary(F.col("title"), F.col("content")).alias("summary"))
 
 
@@ -634,8 +647,8 @@ _WORDS = "list_transform(regexp_extract_all({0}, '(?i)[a-z](?:[a-z0-9+.-]*[a-z0-
 @query(f"""SELECT id, phrase, round(sum(w), 3) AS score FROM (
   SELECT id, array_to_string(ws[i:i + n - 1], ' ') AS phrase, weight * (1 + 0.55 * (n - 1)) AS w FROM (
     SELECT id, ws, weight, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (
-      SELECT id, {_WORDS.format('title')} AS ws, 4.0 AS weight FROM entries UNION ALL SELECT id, {_WORDS.format('substr(content, 1, 2000)')}, 1.0 FROM entries), (SELECT unnest([1, 2, 3]) AS n))
-  WHERE len(list_intersect(ws[i:i + n - 1], [{_KSTOPS}])) = 0) WHERE length(phrase) >= 4 GROUP BY id, phrase""".replace("substr(content, 1, 2000)", "content"))
+      SELECT id, {_WORDS.format('title')} AS ws, 4.0 AS weight FROM entries UNION ALL SELECT id, {_WORDS.format('content')}, 1.0 FROM entries), (SELECT unnest([1, 2, 3]) AS n))
+  WHERE len(list_intersect(ws[i:i + n - 1], [{_KSTOPS}])) = 0) WHERE length(phrase) >= 4 GROUP BY id, phrase""")
 def keyword_scores(d: Domain) -> DataFrame:
     return keywords.totals(d.entries, "id", "title", "content")
 

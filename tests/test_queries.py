@@ -51,22 +51,6 @@ def test_runs(spark, name):
     assert own.queries()[name](spark, DIR).count() > 0
 
 
-#: What the SQL of some queries leaves out, and the queries over all rows.
-CUTS = {
-    "sentences": " WHERE NOT regexp_matches(content, '[A-Z0-9][.!?] [A-Z0-9]')",
-    "summary": " WHERE NOT regexp_matches(content, '[A-Z0-9][.!?] [A-Z0-9]')",
-    "tfidf": " WHERE id % 10 = 3",
-}
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_whole_tables(spark, duck, name):
-    sql = own.oracle_sql()[name]
-    assert sql.count(CUTS[name]) == 1
-    mine = rows(own.queries()[name + "_all"](spark, DIR).toPandas())
-    assert mine == rows(duck.sql(sql.replace(CUTS[name], "")).df()) and len(mine) > len(rows(duck.sql(sql).df()))
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
