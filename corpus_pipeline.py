@@ -21,23 +21,28 @@ from inkwell.llm.queries import vocabulary
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as 1; null ids and empty texts are scored like others, no rows give no rows."""
     return quality.filter_documents(docs, table(spark, sf_dir, "labels"), "quality")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of similarity 0.80 and more; empty texts have no partners, null ids stay, an id's repeated rows stay together."""
     return neardup.keep_one(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item at a containment of 0.8; empty texts hold none, every repeated row is judged alike."""
     return contamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, each secret of its text replaced by a mark and n_chars set to the new length; a null text stays null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests of every row; a null or empty text has none."""
     return tokens.encode_with_digests(docs, vocabulary("word_bpe_49k.json"))
 
 
