@@ -466,7 +466,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     scored = quality.score_documents(docs, spark.read.parquet(f"{path}/labels.parquet"))
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in scored.where("predicted = 1").collect()} and good.columns == docs.columns
     one = stages["near_duplicates"](spark, good, path).cache()
-    kept = {i for i, (_, c) in plain_components([(r.doc_id, r.text) for r in good.collect()]).items() if i == c}
+    kept = {i for i, (_, c) in plain_components([(r.doc_id, r.text) for r in good.collect()], 80).items() if i == c}
     assert {r.doc_id for r in one.collect()} == kept and one.columns == docs.columns
     items = [shingles(r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
     clean = stages["decontamination"](spark, one, path).cache()
