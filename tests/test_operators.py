@@ -102,3 +102,14 @@ def test_plans_push_filters_and_prune_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 10").select("doc_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,10)]" in plan and "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+def test_profile_defaults_and_updates():
+    base = ranking.Profile(3, "paper", ("x",), threshold=40.0, mode="manual")
+    assert [(p.id, p.kind, p.selectivity, p.mode) for p in ranking.with_defaults([base], {"paper": ("a",), "news": ("b",)})] == [(4, "news", "balanced", "auto"), (3, "paper", "balanced", "manual")]
+    change = lambda **given: ranking.updated(base, ranking.ProfileUpdate(**given))
+    assert (change(interests=("y",)).threshold, change(interests=("y",)).mode) == (None, "auto")
+    assert (change(target_precision=0.9).threshold, change(target_precision=0.9).mode) == (40.0, "manual")
+    assert (change(exclusions=(), threshold=20.0, threshold_set=True).threshold, change(threshold_set=True).mode) == (20.0, "auto")
+    with pytest.raises(ValueError):
+        change(interests=())
