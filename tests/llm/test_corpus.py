@@ -479,8 +479,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert sorted((r.doc_id, r.ids_sha256) for r in last) == sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, path).collect())
 
 
-def test_stages_take_edges(spark, tmp_path):
-    docs = documents(spark, EDGES, clash=False)
+@pytest.mark.parametrize("clash", [False, True])
+def test_stages_take_edges(spark, tmp_path, clash):
+    docs = documents(spark, EDGES, clash=clash)
     spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "nothing of this is there at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for table in (docs, docs.where("false")):
