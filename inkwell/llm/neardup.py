@@ -279,7 +279,8 @@ def _rest(large: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
 
     Members meet in blocks of about 64 (of documents by hash): a row holds two blocks, not two documents. Blocks meet by node and
     block number, so a node of very many members is spread over as many keys as it has blocks. Alike documents share many
-    nodes: a pair is given by the least of those that hold both, so once."""
+    nodes: a pair is given by the least of those that hold both, and if both are outside that node's largest component, by
+    the smaller of them, so once."""
     held = large.groupBy("doc").agg(F.collect_set("node").alias("held"))  # as many nodes as the trees give a document
     rows = large.select("node", "doc", "n").join(held, "doc").join(marked, "doc")
     often = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
@@ -289,24 +290,26 @@ def _rest(large: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
     def packed(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("doc", "label", "signature", "held")).alias(name), F.max("n").alias("n"))
 
-    odd = packed(rows.join(stored(often, "mains"), "node").where("label <> main"), "odd")
-    odd = odd.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "odd")
+    often = stored(often, "mains")
+    odd = packed(rows.join(often, "node").where("label <> main"), "odd").join(often, "node")
+    odd = odd.select("node", "main", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "odd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, one, two in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for node, main, one, two in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 (d, k, x), (e, m, y) = ((v.field(0).to_numpy(), v.field(1).to_numpy(), _signatures(v.field(2))) for v in (one.values, two.values))
                 same = np.zeros((len(d), len(e)), dtype=np.int32)
                 for at in range(0, x.shape[1], 16):
                     same += (x[:, None, at : at + 16] == y[None, :, at : at + 16]).sum(2, dtype=np.int32)
-                i, j = np.nonzero((same >= likely(x.shape[1], percent)) & (k[:, None] != m[None, :]))
+                once = (m == main)[None, :] | (d[:, None] < e[None, :])
+                i, j = np.nonzero((same >= likely(x.shape[1], percent)) & (k[:, None] != m[None, :]) & once)
                 if len(i):
                     own, theirs = ([frozenset(h) for h in v.field(3).to_pylist()] for v in (one.values, two.values))
                     first = np.array([min(own[a] & theirs[c]) == node for a, c in zip(i.tolist(), j.tolist())])
                     i, j = i[first], j[first]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[i], e[j])), pa.array(np.maximum(d[i], e[j]))], names=["a", "b"])
 
-    return packed(rows, "all").join(odd, ["node", "block"]).select("node", "odd", "all").mapInArrow(run, "a long, b long").distinct()
+    return packed(rows, "all").join(odd, ["node", "block"]).select("node", "main", "odd", "all").mapInArrow(run, "a long, b long")
 
 
 # ---- confirming -----------------------------------------------------------------------------------------------
