@@ -96,7 +96,7 @@ def seed(spark: SparkSession, sources: DataFrame, document: str = manifest.SEED)
 
 
 def backfill(entries: DataFrame, identifiers: DataFrame, references: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
-    """What old rows lack: identifiers and keys from addresses, keywords of papers, targets of citations. Idempotent."""
+    """What old rows lack: identifiers and keys of papers from addresses, keywords of entries without any, targets of citations. Idempotent."""
     found = entries.where("content_kind = 'paper'").select(F.col("id").alias("entry_id"), ids.derived_identifier(F.coalesce("canonical_url", "url")).alias("x")).where("x is not null")
     found = found.select("entry_id", "x.scheme", "x.value", F.lit(0).alias("is_primary"))
     grown = merge.insert_ignore(identifiers.select(IDENTIFIERS.names), joins.first_by(found, ["scheme", "value"], ["entry_id"]).select(IDENTIFIERS.names), ["scheme", "value"])
@@ -104,8 +104,8 @@ def backfill(entries: DataFrame, identifiers: DataFrame, references: DataFrame,
     keyed = entries.join(wide.withColumnRenamed("entry_id", "id"), "id", "left")
     key = F.coalesce(F.nullif("canonical_key", F.lit("")), ids.identity(F.col("doi"), F.col("arxiv"), F.col("s2"), F.lit(None).cast("string")))
     keyed = keyed.withColumn("canonical_key", key).select(entries.columns)
-    bare = entries.where("content_kind = 'paper'").join(known.select(F.col("entry_id").alias("id")).distinct(), "id", "left_anti")
-    words = keywords.extract(bare, "id", "title", "content").select(F.col("id").alias("entry_id"), F.lit("extracted").alias("kind"), "keyword", "score", F.lit("frequency").alias("provider"))
+    bare = entries.join(known.select(F.col("entry_id").alias("id")).distinct(), "id", "left_anti")
+    words = keywords.extract(bare, "id", "title", "content").select(F.col("id").alias("entry_id"), F.lit("keyword").alias("kind"), "keyword", "score", F.lit("frequency").alias("provider"))
     return {"identifiers": grown, "entries": keyed, "keywords": known.select(KEYWORDS.names).unionByName(words.select(KEYWORDS.names)), "references": joins.reconciled(references, grown, keyed)}
 
 

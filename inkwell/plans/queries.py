@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import dates, ids, keywords, url
 from inkwell.functions import text as tx
-from inkwell.operators import counts, filters, joins, merge, paging, ranking
+from inkwell.operators import counts, filters, joins, merge, paging, ranking, state
 from inkwell.plans.domain import SQL, Domain
 from inkwell.schema import KINDS, STATUSES
 from inkwell.sources import feeds, markup, notes
@@ -781,3 +781,75 @@ def skip_state(d: Domain) -> DataFrame:
     first = items.where("source_id % 4 = 1").select("source_id").distinct()
     empty = items.where("false").select("source_id", "guid")
     return ingest.skip_state(items, empty, first, F.lit(now))[1]
+
+
+# ---- state ---------------------------------------------------------------------------------------------------
+
+_NOW = "2025-03-01T00:00:00+00:00"
+
+
+@query(f"""SELECT id, CASE WHEN status = 'kept' THEN 'On ' || title ELSE '' END AS summary, CASE WHEN status = 'kept' THEN 'own' END AS summary_provider,
+CASE WHEN status = 'kept' THEN 'm' END AS summary_model, CASE WHEN status = 'kept' THEN '{_NOW}' END AS summary_generated_at FROM entries""")
+def set_summary(d: Domain) -> DataFrame:
+    """Kept entries get a summary with its provenance; others stay."""
+    found = d.entries.where("status = 'kept'").select("id", F.concat(F.lit("On "), "title").alias("text"), F.lit("own").alias("provider"), F.lit("m").alias("model"))
+    return state.set_summaries(d.entries, found, _NOW).select("id", "summary", "summary_provider", "summary_model", "summary_generated_at")
+
+
+@query(f"""SELECT id, CASE status WHEN 'kept' THEN 'enriched' WHEN 'discarded' THEN 'failed' ELSE enrichment_state END AS enrichment_state,
+CASE WHEN status = 'kept' THEN '{_NOW}' END AS enriched_at, CASE WHEN status = 'discarded' THEN 'timeout' END AS enrichment_error,
+CASE WHEN status = 'kept' THEN coalesce(canonical_key, 'k:' || id) ELSE canonical_key END AS canonical_key FROM entries""")
+def set_enrichment(d: Domain) -> DataFrame:
+    """Kept entries are enriched (those without a key get one), discarded ones fail, unread ones have no attempt."""
+    e = d.entries.where("status <> 'unread'")
+    kept = F.col("status") == "kept"
+    key = F.when(kept & F.col("canonical_key").isNull(), F.concat(F.lit("k:"), "id"))
+    outcomes = e.select("id", F.when(kept, "enriched").otherwise("failed").alias("state"), F.lit("own").alias("provider"), F.when(~kept, "timeout").alias("error"), F.lit(None).cast("string").alias("canonical_url"), key.alias("canonical_key"))
+    return state.set_enrichment(d.entries, outcomes, _NOW).select("id", "enrichment_state", "enriched_at", "enrichment_error", "canonical_key")
+
+
+_PLAIN_TITLE = f"trim(regexp_replace(title, '{_SP}+', ' ', 'g'))"
+_ASKED = f"""CASE WHEN {_LINE} = '' AND {_PLAIN_TITLE} = '' THEN 'empty content' WHEN status = 'unread' THEN 'no answer' WHEN status = 'discarded' THEN 'timeout' WHEN {_PLAIN_TITLE} = '' THEN 'empty answer' END"""
+
+
+@query(f"""SELECT e.id, CASE WHEN reason IS NULL THEN answer ELSE s.summary END AS text, CASE WHEN reason IS NULL THEN 'own' ELSE 'fallback' END AS provider, CASE WHEN reason IS NULL THEN 'm' ELSE '' END AS model, reason
+FROM (SELECT id, {_PLAIN_TITLE} AS answer, {_ASKED} AS reason FROM entries) e JOIN ({_summary_sql()}) s ON s.id = e.id""")
+def summarised(d: Domain) -> DataFrame:
+    """A model that answers kept entries with their title, fails on discarded ones and is not asked for unread ones."""
+    e = d.entries.where("status <> 'unread'")
+    answers = e.select("id", F.when(F.col("status") == "kept", F.col("title")).alias("generated"), F.when(F.col("status") == "discarded", "timeout").alias("error"))
+    return state.summarised(d.entries, answers, "own", "m")
+
+
+@query(f"""SELECT coalesce(n.key, o.key) AS key, coalesce(n.value, o.value) AS value, CASE WHEN n.key IS NULL THEN '2025' ELSE '{_NOW}' END AS updated_at
+FROM (SELECT 'source.' || id AS key, '"' || category || '"' AS value FROM src) o FULL JOIN (SELECT 'source.' || source_id AS key, CAST(count(*) AS VARCHAR) AS value FROM entries WHERE status = 'kept' GROUP BY source_id) n ON n.key = o.key""")
+def put_settings(d: Domain) -> DataFrame:
+    """A setting for each source; those of sources with kept entries are set anew."""
+    old = d.sources.select(F.concat(F.lit("source."), "id").alias("key"), F.concat(F.lit('"'), "category", F.lit('"')).alias("value"), F.lit("2025").alias("updated_at"))
+    new = d.entries.where("status = 'kept'").groupBy("source_id").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.concat(F.lit(" source."), "source_id").alias("key"), "value")
+    return state.put_settings(old, new, _NOW)
+
+
+@query(f"""SELECT coalesce(n.h, o.h) AS content_hash, coalesce(n.model, o.model) AS model, coalesce(n.d, o.d) AS dimensions, CASE WHEN n.h IS NULL THEN '2025' ELSE '{_NOW}' END AS created_at
+FROM (SELECT md5(CAST(vec_id AS VARCHAR)) AS h, 'a' AS model, 1 AS d FROM embeddings) o FULL JOIN (SELECT md5(CAST(vec_id AS VARCHAR)) AS h, CASE WHEN label % 2 = 0 THEN 'a' ELSE 'b' END AS model, len(embedding) AS d FROM embeddings) n ON n.h = o.h AND n.model = o.model""")
+def put_vectors(d: Domain) -> DataFrame:
+    """Every vector is cached for one model; those of even labels again, those of odd ones for another model."""
+    from inkwell.functions import vectors
+
+    e = d.table("embeddings").withColumn("content_hash", F.md5(F.col("vec_id").cast("string")))
+    old = e.select("content_hash", F.lit("a").alias("model"), F.lit(1).cast("long").alias("dimensions"), vectors.pack(F.slice("embedding", 1, 1)).alias("vector"), F.lit("2025").alias("created_at"))
+    new = e.select("content_hash", F.when(F.col("label") % 2 == 0, "a").otherwise("b").alias("model"), F.size("embedding").cast("long").alias("dimensions"), vectors.pack(F.col("embedding")).alias("vector"))
+    return state.put_vectors(old, new, _NOW).select("content_hash", "model", "dimensions", "created_at")
+
+
+@query(f"SELECT entry_id AS id, CASE state WHEN 'failed' THEN '2025-02' ELSE CASE WHEN e.content_kind = 'paper' THEN '{_NOW}' END END AS restored_at FROM exports x JOIN entries e ON e.id = x.entry_id")
+def mark_restored(d: Domain) -> DataFrame:
+    """Archived notes of papers are restored; those with an earlier time keep it."""
+    archives = d.exports.select(F.col("entry_id").alias("id"), "entry_id", F.when(F.col("state") == "failed", "2025-02").alias("restored_at"))
+    return state.mark_restored(archives, d.entries.where("content_kind = 'paper'").select("id"), _NOW).select("id", "restored_at")
+
+
+@query("""SELECT id, '{"category":' || to_json(category) || ',"kind":' || to_json(content_kind) || ',"title":' || replace(replace(replace(to_json(title), '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') || '}' AS document FROM es""")
+def sorted_json(d: Domain) -> DataFrame:
+    e = joins.with_sources(d.entries, d.sources)
+    return e.select("id", state.sorted_json(F.create_map(F.lit("title"), "title", F.lit("kind"), "content_kind", F.lit("category"), "category")).alias("document"))
