@@ -79,21 +79,35 @@ def fill_metadata(entries: DataFrame, found: DataFrame, columns: list[str]) -> D
     return rows.select(*(F.when(_some(F.col(c).cast("string")), F.col(c)).otherwise(F.coalesce(F.col(f"_f_{c}"), F.col(c))).alias(c) if c in columns else F.col(c) for c in entries.columns))
 
 
-def with_ids(rows: DataFrame, first: int, order: list[str]) -> DataFrame:
-    """Rows numbered from ``first`` by a total order, without one task that sorts all: each range partition is counted
-    (one number per partition goes to the driver) and numbered from its offset."""
-    from pyspark.sql.types import LongType, StructField, StructType
+#: ``with_ids`` deals rows to GROUPS * GROUPS ranges of keys, bounded by a sample of SAMPLE keys for each range.
+GROUPS, SAMPLE = 12, 20
+
 
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sizes = dict(sorted_.groupBy("_p").count().collect())
-    at, base = first, []
+def with_ids(rows: DataFrame, first: int, order: list[str]) -> DataFrame:
+    """Rows numbered from ``first`` by a total order, without one task that sorts all: each range of keys is counted (one
+    number per range goes to the driver) and numbered from its offset.
+
+    The ranges' bounds are constants of the plan, so an id depends on the rows alone and every run of the plan gives the
+    same ids. (Spark's own range partitions come from a new sample in each run, and may be merged in one and not in another.)"""
+    key = F.struct(*order)
+    keys = rows.select(key.alias("k"))
+    types = [f.dataType for f in keys.schema["k"].dataType]
+    sample = keys.orderBy(F.xxhash64("k")).limit(GROUPS * GROUPS * SAMPLE).orderBy("k").collect()
+    ranges = [sample[len(sample) * i // GROUPS**2].k for i in range(GROUPS**2)] if sample else []
+    bounds = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(k, types, order))) for k in ranges]
+    if not bounds:
+        return rows.select(F.lit(first).cast("long").alias("id"), *rows.columns)
+    below = lambda found: F.size(F.filter(found, lambda b: b <= key))
+    group = F.greatest(below(F.array(*bounds[::GROUPS])) - 1, F.lit(0))  # two short searches, not one through all bounds
+    own = F.get(F.array(*(F.array(*bounds[at : at + GROUPS]) for at in range(0, GROUPS**2, GROUPS))), F.col("_g"))
+    dealt = rows.withColumn("_g", group).withColumn("_p", F.col("_g") * GROUPS + below(own))
+    sizes = dict(dealt.groupBy("_p").count().collect())
+    offsets, at = [F.lit(0).cast("long")] * (GROUPS**2 + 1), first
     for p in sorted(sizes):
-        base.append((p, at))
+        offsets[p] = F.lit(at).cast("long")
         at += sizes[p]
-    schema = StructType([StructField("_p", LongType()), StructField("_base", LongType())])
-    offsets = rows.sparkSession.createDataFrame(base, schema)
-    numbered = sorted_.join(offsets, sorted_["_p"] == offsets["_p"]).withColumn("id", F.col("_base") + F.col("_m") - F.shiftleft(sorted_["_p"].cast("long"), 33))
-    return numbered.select("id", *rows.columns)
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.withColumn("_n", rank).select((F.get(F.array(*offsets), F.col("_p")) + F.col("_n") - 1).alias("id"), *rows.columns)
 
 
 def tally(actions: DataFrame) -> DataFrame:

@@ -50,6 +50,15 @@ def test_ids_follow_the_order(spark):
     assert [(r.id, r.k) for r in merge.with_ids(df, 5, ["k"]).orderBy("id").collect()] == [(5 + i, f"{i + 1:03d}") for i in range(200)]
 
 
+def test_ids_are_the_same_in_every_run(spark):
+    """More rows than a sample for ranges holds, wide and narrow reads of the same plan."""
+    df = spark.range(30_000).selectExpr("if(id % 50 = 0, null, md5(cast(id as string))) as k", "id as n", "repeat(md5(cast(-id as string)), 60) as wide").repartition(5)
+    numbered = merge.with_ids(df, 1, ["k", "n"])
+    expected = {r.n: i + 1 for i, r in enumerate(df.select("k", "n").orderBy("k", "n").collect())}
+    for columns in (["id", "n"], ["id", "n", "wide"]):
+        assert {r.n: r.id for r in numbered.select(columns).collect()} == expected
+
+
 def test_swap(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (3, 5):
