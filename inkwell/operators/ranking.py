@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as tx
-from inkwell.operators import paging
+from inkwell.operators import merge, paging
+from inkwell.operators.shared import stored
 
 # Weights of the score's parts, percentiles of a cold start, and the limits of learning.
 WEIGHTS = {"interest": 70, "lexical": 25, "feedback": 15, "source": 5, "exclusion": -25}
@@ -109,6 +111,44 @@ def sparse_dot(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -
     return pairs.groupBy(left_id, right_id).agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
 
 
+#: Terms of a broadcast table at most, about as many postings of queries in one, and (document, query) pairs that a task sums up.
+HELD, BLOCK, PAIRS = 1 << 17, 1 << 19, 1_000_000
+
+
+def sparse_dots(docs: DataFrame, id_col: str, text: Column, documents: int, asked: Column) -> DataFrame:
+    """(id, item, dot): the TF-IDF cosine of every document with each of the ``asked`` ones, where they share a term.
+
+    There are about as many pairs as documents times queries, and many shared terms to a pair, so pairs are never shuffled:
+    postings of query terms meet by document, and the queries' postings come to them in broadcast blocks of about BLOCK. Term
+    counts are stored once. A document's length needs the counts of all its terms: those of frequent terms (at most HELD) are
+    broadcast, only postings of rare ones are joined by term."""
+    given = docs.select(F.col(id_col).alias("id"), text.alias("t")).repartition("id")
+    tf = stored(term_frequencies(given, "id", F.col("t")).withColumn("a", 1 + F.log("tf")).drop("tf"), "tf")
+    idf = F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1
+    terms = stored(document_frequencies(tf).withColumn("idf", idf), "terms")
+    total = terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first().n
+    often = F.col("df") * HELD >= total  # the counts add up to the total, so that at most HELD terms can have so many
+    known = tf.join(F.broadcast(terms.where(often).select("term", "idf")), "term", "left")
+    rare = known.where("idf is null").drop("idf").join(terms.where(~often).select("term", "idf"), "term")
+    squares = known.where("idf is not null").unionByName(rare).select("id", F.pow(F.col("a") * F.col("idf"), F.lit(2.0)).alias("s"))
+    lengths = stored(squares.groupBy("id").agg(F.sqrt(F.sum("s")).alias("norm")), "norms")
+
+    found = tf.where(asked).join(terms, "term").join(lengths, "id").select(F.col("id").alias("item"), "term", (F.col("a") * F.col("idf") / F.col("norm") * F.col("idf")).alias("b"))
+    queries = stored(found, "queries")
+    coded = stored(merge.with_ids(queries.select("term").distinct(), 0, ["term"]).withColumnRenamed("id", "code"), "codes")
+    postings, items = queries.agg(F.count(F.lit(1)), F.countDistinct("item")).first()
+    few = F.broadcast if coded.count() <= HELD else lambda df: df
+    blocks, tasks = max(1, -(-postings // BLOCK)), max(1, -(-documents * items // PAIRS))
+    own = tf.join(few(coded), "term").select("id", "code", "a").repartition(tasks, "id")
+    own = own.join(lengths.repartition(tasks, "id").hint("shuffle_hash"), "id").select("id", "code", (F.col("a") / F.col("norm")).alias("a"))
+    asking = stored(queries.join(few(coded), "term").select("item", "code", "b", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")), "asking")
+    dots = [
+        own.join(F.broadcast(asking.where(F.col("block") == k).select("item", "code", "b")), "code").groupBy("id", "item").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+        for k in range(blocks)
+    ]
+    return functools.reduce(DataFrame.unionByName, dots)
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     """0 for vectors of different lengths or without length."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)

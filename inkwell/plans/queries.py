@@ -339,8 +339,7 @@ def tfidf(d: Domain) -> DataFrame:
 @query(_W + "SELECT a.id, b.item, round(sum(a.w / n.norm * b.w), 6) AS dot FROM raw a JOIN norm n USING (id) JOIN (SELECT id AS item, term, w / norm AS w FROM raw JOIN norm USING (id) WHERE id % 500 = 0) b USING (term) GROUP BY a.id, b.item")
 def sparse_dot(d: Domain) -> DataFrame:
     """Every document against a query set: the documents whose id is divisible by 500."""
-    w = ranking.tfidf(_tf(d), "id", d.entries.count())
-    dots = ranking.sparse_dot(w, w.where("id % 500 = 0").withColumnRenamed("id", "item"), "id", "item")
+    dots = ranking.sparse_dots(d.entries.select("id", "content"), "id", F.col("content"), d.entries.count(), F.col("id") % 500 == 0)
     return dots.select("id", "item", F.round("dot", 6).alias("dot"))
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,25 @@ def test_profile_defaults_and_updates():
     assert (change(exclusions=(), threshold=20.0, threshold_set=True).threshold, change(threshold_set=True).mode) == (20.0, "auto")
     with pytest.raises(ValueError):
         change(interests=())
+
+
+@pytest.mark.parametrize("limits", [(1 << 17, 1 << 19, 1_000_000), (4, 5, 3)])
+def test_sparse_dots_are_those_of_all_weights(spark, monkeypatch, limits):
+    """With a null id, a repeated id, texts without terms, and limits so small that there are rare terms and several blocks."""
+    for name, limit in zip(("HELD", "BLOCK", "PAIRS"), limits):
+        monkeypatch.setattr(ranking, name, limit)
+    texts = [(i, f"alpha beta{i % 3} beta{i % 3} gamma{i % 7} own{i}") for i in range(20)] + [(None, "alpha gamma1"), (3, "alpha more"), (30, ""), (31, None), (40, "alone")]
+    docs = spark.createDataFrame(texts, "id long, t string")
+    weights = ranking.tfidf(ranking.term_frequencies(docs, "id", F.col("t")), "id", len(texts))
+    expected = ranking.sparse_dot(weights, weights.where("id % 5 = 0").withColumnRenamed("id", "item"), "id", "item").collect()
+    got = ranking.sparse_dots(docs, "id", F.col("t"), len(texts), F.col("id") % 5 == 0).collect()
+    assert len(got) == len(expected) > 80 and {(r.id, r.item): round(r.dot, 9) for r in got} == {(r.id, r.item): round(r.dot, 9) for r in expected}
+    none = docs.where("id < 0")
+    assert ranking.sparse_dots(none, "id", F.col("t"), 0, F.col("id") % 5 == 0).collect() == []
+
+
+def test_sparse_dot_shuffles_no_pairs(spark):
+    from inkwell.plans import queries
+
+    plan = queries.queries()["sparse_dot"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\d+L?, item#", plan) and "item#" in plan
