@@ -88,15 +88,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+#: Logits within it need no shift before float32 exponentials: neither these nor their sums leave the range.
+SAFE = 60.0
+
+
+def _within(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether states (each within -1 to 1) can only give logits within SAFE; weights are (..., hidden, classes)."""
+    return (np.abs(weights).sum(-2) + np.abs(bias)).max(-1) < SAFE
+
+
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """Turns shifted logits into exponentials in place; their sums by row, as products with ones: reductions of short rows
+    cost several times as much."""
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _shifted(x: np.ndarray, within: bool) -> np.ndarray:
+    """Logits (in place) that exponentials can be taken of."""
+    if not within:
+        x -= x.max(1, keepdims=True)
+    return x
 
 
 class Scorer:
     def __init__(self, weights: dict) -> None:
         self.w = weights
         self.table = weights["E"] @ weights["W"] + weights["b"]  # what each symbol adds to the gates
+        self.within = _within(weights["C"], weights["c"]), _within(weights["M"], weights["m"])
 
     def log10(self, texts: list[np.ndarray], most: int = 512, window: int = 48) -> np.ndarray:
         """The log10 chance of each text's symbols (within tail classes: of the class alone)."""
@@ -131,16 +150,22 @@ class Scorer:
     def _output(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = self.w
         kind, member = _classes(y)
-        x = s @ w["C"] + w["c"]
-        x -= x.max(1, keepdims=True)
-        value = x[np.arange(len(y)), kind] - np.log(np.exp(x).sum(1))
+        value = np.empty(len(y), s.dtype)
+        for at in range(0, len(y), PART):
+            x = s[at : at + PART] @ w["C"]
+            x += w["c"]
+            _shifted(x, self.within[0])
+            value[at : at + PART] = x[np.arange(len(x)), kind[at : at + PART]]
+            value[at : at + PART] -= np.log(_exponentials(x))
         order = np.argsort(kind, kind="stable")
         edge = np.searchsorted(kind[order], np.arange(VOCAB // MEMBERS + 1))
         for k in range(VOCAB // MEMBERS):
             own = order[edge[k] : edge[k + 1]]
             if len(own):
-                q = _log_softmax(s[own] @ w["M"][k] + w["m"][k])
-                value[own] += q[np.arange(len(own)), member[own]]
+                q = s[own] @ w["M"][k]
+                q += w["m"][k]
+                _shifted(q, self.within[1][k])
+                value[own] += q[np.arange(len(own)), member[own]] - np.log(_exponentials(q))
         return value.astype(np.float64)
 
 
@@ -154,8 +179,8 @@ def _summed(rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: Tokens of which the output is computed at once.
-CHUNK = 1 << 14
+#: Tokens of which the output is computed at once, and of which its classes are.
+CHUNK, PART = 1 << 14, 1 << 11
 
 
 class Space(dict):
@@ -243,38 +268,45 @@ def gradient(w: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.nda
 def _output_gradient(w: dict, s: np.ndarray, y: np.ndarray, ds: np.ndarray, g: dict, space: Space) -> tuple[float, int]:
     """Adds the output's part to ``g`` and writes what flows back to the states into ``ds``; the loss and the token count."""
     live = np.flatnonzero(y >= 0)
-    rows = np.arange(len(y))
     kind, member = _classes(y)
-    d = space.at("d", (len(y), CLASSES), s.dtype)
-    np.matmul(s, w["C"], out=d)
-    d += w["c"]
-    d -= d.max(1, keepdims=True)
-    own = d[rows, kind][live].sum(dtype=np.float64)
-    np.exp(d, out=d)
-    total = d.sum(1, keepdims=True)
-    loss = float(np.log(total[live]).sum(dtype=np.float64) - own)
-    d /= total
-    d[rows, kind] -= 1
-    if len(live) < len(y):
-        d[y < 0] = 0
-    g["C"] += s.T @ d
-    g["c"] += d.sum(0)
-    np.matmul(d, w["C"].T, out=ds)
+    fine, loss = _within(w["C"], w["c"]), 0.0
+    C_t, all_d = np.ascontiguousarray(w["C"].T), space.at("d", (PART, CLASSES), s.dtype)
+    for at in range(0, len(y), PART):
+        part, t = s[at : at + PART], y[at : at + PART] >= 0
+        d, row = all_d[: len(part)], np.arange(len(part))
+        np.matmul(part, w["C"], out=d)
+        d += w["c"]
+        _shifted(d, fine)
+        own = kind[at : at + PART]
+        loss -= float(d[row, own][t].sum(dtype=np.float64))
+        total = _exponentials(d)
+        loss += float(np.log(total[t]).sum(dtype=np.float64))
+        d *= (1 / total)[:, None]
+        d[row, own] -= 1
+        if not t.all():
+            d[~t] = 0
+        g["C"] += part.T @ d
+        g["c"] += np.ones(len(part), d.dtype) @ d
+        np.matmul(d, C_t, out=ds[at : at + PART])
     order = live[np.argsort(kind[live], kind="stable")]
     edge = np.searchsorted(kind[order], np.arange(VOCAB // MEMBERS + 1))
     words = order[: edge[-1]]  # tail classes come last and have no members
     s, member = s[words], member[words]
-    back = space.at("words", s.shape, s.dtype)
+    back, fines = space.at("words", s.shape, s.dtype), _within(w["M"], w["m"])
     for k in range(VOCAB // MEMBERS):
         a, b = edge[k], edge[k + 1]
         if a < b:
-            q = _log_softmax(s[a:b] @ w["M"][k] + w["m"][k])
+            q = s[a:b] @ w["M"][k]
+            q += w["m"][k]
+            _shifted(q, fines[k])
             place = np.arange(b - a), member[a:b]
             loss -= float(q[place].sum(dtype=np.float64))
-            np.exp(q, out=q)
+            total = _exponentials(q)
+            loss += float(np.log(total).sum(dtype=np.float64))
+            q *= (1 / total)[:, None]
             q[place] -= 1
             g["M"][k] += s[a:b].T @ q
-            g["m"][k] += q.sum(0)
+            g["m"][k] += np.ones(b - a, q.dtype) @ q
             np.matmul(q, w["M"][k].T, out=back[a:b])
     ds[words] += back
     return loss, len(live)

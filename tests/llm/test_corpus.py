@@ -497,3 +497,26 @@ def test_components_of_a_path(spark, n):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (501, 500)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 500: 500, 501: 500}
+
+
+@pytest.mark.parametrize("size", [0.5, 40.0])
+def test_gru_output_with_small_and_very_large_logits(size):
+    """Exponentials are taken without a shift only where no state can give logits out of their range; tokens over several parts."""
+    rnd = np.random.default_rng(5)
+    w = {k: v.astype(np.float32) for k, v in gru.initial(np.zeros(gru.CLASSES), np.zeros((gru.VOCAB // gru.MEMBERS, gru.MEMBERS))).items()}
+    w |= {k: (rnd.normal(size=w[k].shape) * size).astype(np.float32) for k in ("C", "M")}
+    assert gru._within(w["C"], w["c"]) == gru._within(w["M"], w["m"]).all() == (size < 1)
+    n = gru.PART + 77
+    s, y = rnd.uniform(-1, 1, (n, gru.HIDDEN)).astype(np.float32), rnd.integers(-1, gru.VOCAB + gru.TAILS, n)
+    live = np.flatnonzero(y >= 0)
+    kind, member = gru._classes(y)
+    log_softmax = lambda x: x - x.max(-1, keepdims=True) - np.log(np.exp(x - x.max(-1, keepdims=True)).sum(-1, keepdims=True))
+    wide = s.astype(float)
+    expected = log_softmax(wide @ w["C"])[np.arange(n), kind]
+    for i in np.flatnonzero(member >= 0):
+        expected[i] += log_softmax(wide[i] @ w["M"][kind[i]])[member[i]]
+    assert np.allclose(gru.Scorer(w)._output(s[live], y[live]), expected[live], rtol=1e-4, atol=1e-3)
+    g, back = {k: np.zeros_like(v) for k, v in w.items()}, np.zeros_like(s)
+    loss, tokens = gru._output_gradient(w, s, y, back, g, gru.Space())
+    assert tokens == len(live) and np.isclose(loss, -expected[live].sum(), rtol=1e-4)
+    assert all(np.isfinite(v).all() for v in (*g.values(), back)) and abs(float(g["c"].sum())) < 0.1 and not back[y < 0].any()
