@@ -81,9 +81,18 @@ def summary(title: Column, content: Column, limit: int = 600) -> Column:
     return F.when(text == "", F.lit("No summary is available.")).otherwise(trim_to_word(first_sentences(sentences(text), 3, limit), limit))
 
 
+def token_runs(c: Column) -> Column:
+    """Lower-case words in order, short and stop words among them."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
+
+
+def is_term(t: Column) -> Column:
+    return (F.length(t) > 1) & ~t.isin(*STOP_WORDS)
+
+
 def tokens(c: Column) -> Column:
     """Scoring terms in order: lower case, two characters and more, no stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    return F.filter(token_runs(c), is_term)
 
 
 def unique_tokens(c: Column) -> Column:

@@ -81,7 +81,8 @@ def with_defaults(profiles: list[Profile], interests: dict[str, tuple[str, ...]]
 
 
 def term_frequencies(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    return docs.select(id_col, F.explode(tx.tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    runs = docs.select(id_col, F.explode(tx.token_runs(text)).alias("term"))  # rows are filtered in compiled code, array elements are not
+    return runs.where(tx.is_term(F.col("term"))).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -111,8 +112,9 @@ def sparse_dot(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -
     return pairs.groupBy(left_id, right_id).agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
 
 
-#: Terms of a broadcast table at most, about as many postings of queries in one, and (document, query) pairs that a task sums up.
-HELD, BLOCK, PAIRS = 1 << 17, 1 << 19, 1_000_000
+#: Terms of a broadcast table at most, about as many postings of queries in one, (document, query) pairs that a task sums up, and
+#: queries whose sums lie side by side in a row.
+HELD, BLOCK, PAIRS, LANES = 1 << 17, 1 << 18, 1_000_000, 16
 
 
 def sparse_dots(docs: DataFrame, id_col: str, text: Column, documents: int, asked: Column) -> DataFrame:
@@ -136,16 +138,23 @@ def sparse_dots(docs: DataFrame, id_col: str, text: Column, documents: int, aske
     found = tf.where(asked).join(terms, "term").join(lengths, "id").select(F.col("id").alias("item"), "term", (F.col("a") * F.col("idf") / F.col("norm") * F.col("idf")).alias("b"))
     queries = stored(found, "queries")
     coded = stored(merge.with_ids(queries.select("term").distinct(), 0, ["term"]).withColumnRenamed("id", "code"), "codes")
-    postings, items = queries.agg(F.count(F.lit(1)), F.countDistinct("item")).first()
+    ranks = stored(merge.with_ids(queries.select("item").distinct(), 0, ["item"]).withColumn("g", F.floor(F.col("id") / LANES)), "items")
+    postings, items = queries.count(), ranks.count()
     few = F.broadcast if coded.count() <= HELD else lambda df: df
     blocks, tasks = max(1, -(-postings // BLOCK)), max(1, -(-documents * items // PAIRS))
     own = tf.join(few(coded), "term").select("id", "code", "a").repartition(tasks, "id")
     own = own.join(lengths.repartition(tasks, "id").hint("shuffle_hash"), "id").select("id", "code", (F.col("a") / F.col("norm")).alias("a"))
-    asking = stored(queries.join(few(coded), "term").select("item", "code", "b", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")), "asking")
-    dots = [
-        own.join(F.broadcast(asking.where(F.col("block") == k).select("item", "code", "b")), "code").groupBy("id", "item").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-        for k in range(blocks)
-    ]
+    # LANES queries side by side in a row; all weights are above zero, so a sum of zero means no shared term
+    lane = lambda k: F.sum(F.when(F.col("id") % LANES == k, F.col("b")).otherwise(0.0)).alias(f"b{k}")
+    asking = stored(queries.join(few(coded), "term").join(ranks, "item").groupBy("code", "g").agg(*map(lane, range(LANES))), "asking")
+    names = ranks.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("items"))
+    dots = []
+    for k in range(blocks):
+        block = F.broadcast(asking.where(F.col("g") % blocks == k))
+        sums = own.join(block, "code").groupBy("id", "g").agg(*(F.sum(F.col("a") * F.col(f"b{i}")).alias(f"d{i}") for i in range(LANES)))
+        wide = sums.join(F.broadcast(names.where(F.col("g") % blocks == k)), "g")
+        each = wide.select("id", "items", F.posexplode(F.array(*(f"d{i}" for i in range(LANES)))).alias("at", "dot")).where("dot > 0")
+        dots.append(each.select("id", F.get("items", F.col("at"))["item"].alias("item"), "dot"))
     return functools.reduce(DataFrame.unionByName, dots)
 
 

@@ -126,10 +126,10 @@ def test_profile_defaults_and_updates():
         change(interests=())
 
 
-@pytest.mark.parametrize("limits", [(1 << 17, 1 << 19, 1_000_000), (4, 5, 3)])
+@pytest.mark.parametrize("limits", [(1 << 17, 1 << 18, 1_000_000, 16), (4, 5, 3, 2)])
 def test_sparse_dots_are_those_of_all_weights(spark, monkeypatch, limits):
     """With a null id, a repeated id, texts without terms, and limits so small that there are rare terms and several blocks."""
-    for name, limit in zip(("HELD", "BLOCK", "PAIRS"), limits):
+    for name, limit in zip(("HELD", "BLOCK", "PAIRS", "LANES"), limits):
         monkeypatch.setattr(ranking, name, limit)
     texts = [(i, f"alpha beta{i % 3} beta{i % 3} gamma{i % 7} own{i}") for i in range(20)] + [(None, "alpha gamma1"), (3, "alpha more"), (30, ""), (31, None), (40, "alone")]
     docs = spark.createDataFrame(texts, "id long, t string")
