@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import dates, ids, keywords, url
 from inkwell.functions import text as tx
 from inkwell.operators import counts, filters, joins, merge, paging, ranking, state
+from inkwell.operators.shared import stored
 from inkwell.plans.domain import SQL, Domain
 from inkwell.schema import KINDS, STATUSES
 from inkwell.sources import feeds, markup, notes
@@ -768,7 +769,7 @@ def ingest_batches(d: Domain) -> DataFrame:
 
     items = _stream_items(d)
     empty = d.spark.createDataFrame([], ENTRIES)
-    once = ingest.merge_batch(empty, items, "2025-03-01T00:00:00+00:00")
+    once = stored(ingest.merge_batch(empty, items, "2025-03-01T00:00:00+00:00"), "entries")  # a table, as between two batches of a stream
     twice = ingest.merge_batch(once, items.where("source_id % 2 = 0"), "2025-03-02T00:00:00+00:00")
     return twice.select("id", "source_id", "guid", "title", "status")
 
