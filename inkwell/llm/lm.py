@@ -36,10 +36,22 @@ SLICE = 8 << 20
 FIXED = 1 << 24
 
 
+_LOW = bytes(range(256)).lower()
+
+
+def _lowered(column: pa.Array) -> pa.LargeStringArray:
+    """The texts with A-Z lower-cased (null: empty) in buffers of their own that begin with the first text: Arrow's
+    ``ascii_lower`` takes the bytes of other rows where the first offset of a large string array is not zero, as in a slice."""
+    texts = pc.fill_null(column, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = (texts.buffers()[2] or pa.py_buffer(b""))[int(offsets[0]) : int(offsets[-1])].to_pybytes().translate(_LOW)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw))
+
+
 def words_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z lower-cased, as numbers of a dictionary, and where each text's words
     begin (one entry more than texts). So Python sees each distinct word of a slice once."""
-    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "").cast(pa.large_string())))
+    found = pc.ascii_split_whitespace(_lowered(column))
     at = found.offsets.to_numpy().astype(np.int64)
     words = found.flatten()
     some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at the ends leaves empty words

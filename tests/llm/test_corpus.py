@@ -520,3 +520,22 @@ def test_gru_output_with_small_and_very_large_logits(size):
     loss, tokens = gru._output_gradient(w, s, y, back, g, gru.Space())
     assert tokens == len(live) and np.isclose(loss, -expected[live].sum(), rtol=1e-4)
     assert all(np.isfinite(v).all() for v in (*g.values(), back)) and abs(float(g["c"].sum())) < 0.1 and not back[y < 0].any()
+
+
+def test_lm_words_of_slices(spark):
+    """A batch is cut into slices whose first text lies within the batch's bytes; every slice gives its own words."""
+    import pyarrow as pa
+
+    texts = [" ".join(words(300, i)).upper() + " Ünï É" for i in range(1500)]
+    texts[701] = ""
+    some = [None if i == 700 else t for i, t in enumerate(texts)]  # Arrow copies a slice that holds a null, not one without
+    texts[700] = ""
+    expected = [[x.encode() for x in WORD.findall(t.translate(LOW))] for t in texts]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(some)):
+        for a, n in ((0, 1500), (1, 1), (400, 500), (700, 2), (1499, 1), (20, 0)):
+            found, at = lm.words_of(column.slice(a, n))
+            flat = found.to_pylist()
+            assert [flat[i:j] for i, j in zip(at, at[1:])] == expected[a : a + n]
+    counts = Counter(w for x in expected for w in [*x, b""])
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert {bytes(r.word): r.n for r in lm.count_words(rows).collect()} == counts
