@@ -84,10 +84,6 @@ def _classes(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(word, target // MEMBERS, VOCAB // MEMBERS + target - VOCAB), np.where(word, target % MEMBERS, -1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
-
-
 #: Logits within it need no shift before float32 exponentials: neither these nor their sums leave the range.
 SAFE = 60.0
 
@@ -111,10 +107,42 @@ def _shifted(x: np.ndarray, within: bool) -> np.ndarray:
     return x
 
 
+def _parts(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What each symbol adds to the three gates, and the matrices of the state, gate by gate so that the steps work on whole
+    arrays; halved where a logistic function follows, which is taken by way of tanh, and the state's part throughout (exact)."""
+    half = w["U"].dtype.type(0.5)
+    table = (w["E"] @ w["W"] + w["b"]).reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
+    table[:2] *= half
+    return table, w["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2) * half
+
+
+def _begins(reset: np.ndarray) -> list[np.ndarray]:
+    """For each step (time, lane) the lanes where a text begins."""
+    t, lane = np.nonzero(reset)
+    return np.split(lane, np.searchsorted(t, np.arange(1, len(reset))))
+
+
+def _step(before: np.ndarray, zr: np.ndarray, n: np.ndarray, U: np.ndarray, u: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One step of all lanes. ``zr`` and ``n`` hold what the symbols add and then the gates and the new part; ``u`` gets the
+    state's part (halved), ``h`` the next state."""
+    np.matmul(before, U, out=u)
+    zr += u[:2]
+    np.tanh(zr, out=zr)
+    zr += 1
+    np.multiply(u[2], zr[1], out=h)
+    n += h
+    np.tanh(n, out=n)
+    zr *= zr.dtype.type(0.5)
+    np.subtract(before, n, out=h)
+    h *= zr[0]
+    h += n
+    return h
+
+
 class Scorer:
     def __init__(self, weights: dict) -> None:
         self.w = weights
-        self.table = weights["E"] @ weights["W"] + weights["b"]  # what each symbol adds to the gates
+        self.gates, self.U = _parts(weights)
         self.within = _within(weights["C"], weights["c"]), _within(weights["M"], weights["m"])
 
     def log10(self, texts: list[np.ndarray], most: int = 512, window: int = 48) -> np.ndarray:
@@ -124,21 +152,17 @@ class Scorer:
             return out
         target, reset, number = lanes(texts, most)
         given = _inputs(target, reset)
-        w, h = self.w, np.zeros((len(target), HIDDEN), np.float32)
-        H2, U = 2 * HIDDEN, w["U"]
+        h, u = np.zeros((len(target), HIDDEN), np.float32), np.empty((3, len(target), HIDDEN), np.float32)
         for at in range(0, target.shape[1], window):
             x = np.ascontiguousarray(given[:, at : at + window].T)
-            keep = (~reset[:, at : at + window].T).astype(np.float32)[..., None]
-            gates = self.table.take(x, axis=0)
+            begins = _begins(reset[:, at : at + window].T)
+            gates = self.gates.take(x, axis=1)
             states = np.empty((len(x), len(h), HIDDEN), np.float32)
+            before = np.empty_like(h)
             for t in range(len(x)):
-                h = h * keep[t]
-                u = h @ U
-                g = gates[t]
-                zr = _sigmoid(g[:, :H2] + u[:, :H2])
-                n = np.tanh(g[:, H2:] + zr[:, HIDDEN:] * u[:, H2:])
-                h = n + zr[:, :HIDDEN] * (h - n)
-                states[t] = h
+                before[:] = h
+                before[begins[t]] = 0
+                h = _step(before, gates[:2, t], gates[2, t], self.U, u, states[t])
             y = target[:, at : at + window].T.reshape(-1)
             live = y >= 0
             y, s = y[live].astype(np.int64), states.reshape(-1, HIDDEN)[live]
@@ -169,16 +193,6 @@ class Scorer:
         return value.astype(np.float64)
 
 
-def _summed(rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each key."""
-    order = np.argsort(key, kind="stable")
-    keys = key[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[keys[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
-
-
 #: Tokens of which the output is computed at once, and of which its classes are.
 CHUNK, PART = 1 << 14, 1 << 11
 
@@ -201,29 +215,19 @@ def gradient(w: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.nda
     """
     space = Space() if space is None else space
     steps, count = x.shape
-    H2, kind = 2 * HIDDEN, w["U"].dtype
-    keep = (~reset).astype(kind)[..., None]
-    before, states, ns, us, to_n, tmp = (space.at(k, (steps, count, HIDDEN), kind) for k in ("before", "states", "ns", "us", "to_n", "tmp"))
-    zrs = space.at("zrs", (steps, count, H2), kind)
-    gates, d_us = (space.at(k, (steps, count, 3 * HIDDEN), kind) for k in ("gates", "d_us"))
-    u, half = space.at("u", (count, 3 * HIDDEN), kind), kind.type(0.5)
-    np.take(w["E"] @ w["W"] + w["b"], x, axis=0, out=gates, mode="clip")
+    kind, begins = w["U"].dtype, _begins(reset)
+    before, states, to_n, tmp = (space.at(k, (steps, count, HIDDEN), kind) for k in ("before", "states", "to_n", "tmp"))
+    gates, d_us = (space.at(k, (3, steps, count, HIDDEN), kind) for k in ("gates", "d_us"))
+    u = space.at("u", (3, count, HIDDEN), kind)
+    table, U = _parts(w)
+    np.take(table, x, axis=1, out=gates, mode="clip")
+    to_z, to_r = d_us[0], d_us[1]
     for t in range(steps):
-        np.multiply(h, keep[t], out=before[t])
-        np.matmul(before[t], w["U"], out=u)
-        zr, n, h = zrs[t], ns[t], states[t]
-        np.add(gates[t, :, :H2], u[:, :H2], out=zr)  # the logistic function by way of tanh
-        zr *= half
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= half
-        us[t] = u[:, H2:]
-        np.multiply(zr[:, HIDDEN:], us[t], out=n)
-        n += gates[t, :, H2:]
-        np.tanh(n, out=n)
-        np.subtract(before[t], n, out=h)
-        h *= zr[:, :HIDDEN]
-        h += n
+        before[t] = h
+        before[t, begins[t]] = 0
+        h = _step(before[t], gates[:2, t], gates[2, t], U, u, states[t])
+        np.add(u[2], u[2], out=to_r[t])
+    z, r, ns = gates
     g = {k: np.zeros_like(v) for k, v in w.items()}
     d_states = space.at("d_states", (steps * count, HIDDEN), kind)
     flat_y, flat_s, loss, tokens = y.reshape(-1), states.reshape(-1, HIDDEN), 0.0, 0
@@ -232,8 +236,6 @@ def gradient(w: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.nda
         loss, tokens = loss + one, tokens + n
     d_states = d_states.reshape(steps, count, HIDDEN)
     # what does not depend on the flow back is computed for all steps at once, in place
-    z, r = zrs[..., :HIDDEN], zrs[..., HIDDEN:]
-    to_z, to_r = space.at("to_z", (steps, count, HIDDEN), kind), us
     np.subtract(before, ns, out=to_z)
     to_z *= z
     np.subtract(1, z, out=tmp)
@@ -244,23 +246,24 @@ def gradient(w: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.nda
     to_r *= r
     np.subtract(1, r, out=tmp)
     to_r *= tmp
-    dh, dn, back = (space.at(k, (count, HIDDEN), kind) for k in ("dh", "dn", "back"))
-    dh[:], U_t = 0, np.ascontiguousarray(w["U"].T)
+    dh, back = space.at("dh", (count, HIDDEN), kind), space.at("back", (3, count, HIDDEN), kind)
+    dh[:], U_t = 0, np.ascontiguousarray(w["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
     for t in range(steps - 1, -1, -1):
         dh += d_states[t]
-        np.multiply(dh, to_n[t], out=dn)
-        du = d_us[t]
-        np.multiply(dh, to_z[t], out=du[:, :HIDDEN])
-        np.multiply(dn, to_r[t], out=du[:, HIDDEN:H2])
-        np.multiply(dn, r[t], out=du[:, H2:])
-        gates[t, :, H2:] = dn
+        dn = to_n[t]
+        dn *= dh
+        to_z[t] *= dh
+        to_r[t] *= dn
+        np.multiply(dn, r[t], out=d_us[2, t])
+        np.matmul(d_us[:, t], U_t, out=back)
         dh *= z[t]
-        np.matmul(du, U_t, out=back)
-        dh += back
-        dh *= keep[t]
-    g["U"] = before.reshape(-1, HIDDEN).T @ d_us.reshape(-1, 3 * HIDDEN)
-    gates[..., :H2] = d_us[..., :H2]
-    by_symbol = _summed(gates.reshape(-1, 3 * HIDDEN), x.reshape(-1), SYMBOLS, space)
+        for part in back:
+            dh += part
+        dh[begins[t]] = 0
+    flat = before.reshape(-1, HIDDEN).T
+    g["U"] = np.concatenate([flat @ d.reshape(-1, HIDDEN) for d in d_us], axis=1)
+    gates[:2], gates[2] = d_us[:2], to_n
+    by_symbol = _summed(gates.reshape(3, -1, HIDDEN), x.reshape(-1), SYMBOLS, space)
     g["W"], g["b"], g["E"] = w["E"].T @ by_symbol, by_symbol.sum(0), by_symbol @ w["W"].T
     return g, states[-1].copy(), loss, tokens
 
@@ -312,15 +315,15 @@ def _output_gradient(w: dict, s: np.ndarray, y: np.ndarray, ds: np.ndarray, g: d
     return loss, len(live)
 
 
-def _summed(rows: np.ndarray, key: np.ndarray, n: int, space: Space) -> np.ndarray:
-    """Sums of the rows of each key."""
+def _summed(parts: np.ndarray, key: np.ndarray, n: int, space: Space) -> np.ndarray:
+    """Sums of the rows of each key; the parts (part, row, column) lie side by side in the result."""
     order = np.argsort(key, kind="stable")
     keys = key[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sorted_rows = np.take(rows, order, axis=0, out=space.at("sorted", rows.shape, rows.dtype), mode="clip")
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[keys[first]] = np.add.reduceat(sorted_rows, first, axis=0)
-    return out
+    sorted_rows = np.take(parts, order, axis=1, out=space.at("sorted", parts.shape, parts.dtype), mode="clip")
+    out = np.zeros((n, len(parts), parts.shape[2]), parts.dtype)
+    out[keys[first]] = np.add.reduceat(sorted_rows, first, axis=1).transpose(1, 0, 2)
+    return out.reshape(n, -1)
 
 
 #: Tokens of a run in training: longer texts are cut, so that many lanes have work; a run's first state is zero.

@@ -10,7 +10,8 @@ task learns from all of the round's documents in its partition, and the weights
 from every training document, and nothing but weights leaves the executors.
 
 Null and empty texts have one token, the end. Rows with a null id are not held out and teach nothing; repeated rows each
-teach and each give a row. Memory is bounded by a slice of about 8 MB of text (or one text, if longer).
+teach and each give a row. Memory is bounded by a slice of about 8 MB of text (or one text, if longer), of which the words of 2 MB are
+held at once, and by the symbols and rare words of about two million tokens that are scored together.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ ROUNDS = 2
 SMOOTH = 0.1
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 300_000
-SLICE = 8 << 20
+#: Bytes of text that a pass of training takes, and that are split into words at once (the words take many times as much).
+SLICE, READ = 8 << 20, 2 << 20
+#: Tokens that are scored together, with those of a last slice: a long text holds up the short ones of its group alone.
+GROUP = 1 << 21
 FIXED = 1 << 24
 
 
@@ -56,13 +60,29 @@ def words_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     words = found.flatten()
     some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at the ends leaves empty words
     at = np.concatenate(([0], np.cumsum(some)))[at - at[0]]
-    return words.filter(pa.array(some)).cast(pa.large_binary()).dictionary_encode(), at
+    words = words if some.all() else words.filter(pa.array(some))
+    return words.cast(pa.large_binary()).dictionary_encode(), at
 
 
 def tail_class(word: bytes) -> int:
     return gru.VOCAB + zlib.crc32(word[-2:]) % gru.TAILS
 
 
+#: The tail class by a word's last two bytes, then by its only byte, then that of the empty word.
+_TAIL = np.array([tail_class(bytes(x)) for x in (*((a, b) for a in range(256) for b in range(256)), *((b,) for b in range(256)), ())], dtype=np.int16)
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """The tail class of each word of a large binary array."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    size, end = np.diff(offsets), offsets[1:]
+    data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+    if not len(data):
+        data = np.zeros(1, np.uint8)
+    last = data[np.maximum(end - 1, 0)].astype(np.int64)
+    return _TAIL[np.where(size > 1, data[np.maximum(end - 2, 0)] * np.int64(256) + last, np.where(size == 1, 65536 + last, 65792))]
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, n long) over all rows of the text column; the end of a text is the empty word."""
 
@@ -72,7 +92,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=READ):
             words, _ = words_of(batch.column(0))
             times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
             for word, n in zip(words.dictionary.to_pylist(), times.tolist()):
@@ -110,16 +130,16 @@ class Vocabulary:
         self.words = [bytes(r.word) for r in top]
         self.counts = np.array([r.n for r in top], dtype=np.float64)
         self.spread = np.log10(self.n + SMOOTH * (self.v + 1))
-        frequent = frozenset(self.words[: gru.VOCAB])
+        frequent = self.words[: gru.VOCAB]
         # sums by tail class over all words but the frequent ones
         def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((gru.TAILS, 2), dtype=np.int64)
+            total, known = np.zeros((gru.TAILS, 2), dtype=np.int64), pa.array(frequent, pa.large_binary())
             for b in batches:
-                for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if word not in frequent:
-                        k = tail_class(word) - gru.VOCAB
-                        total[k, 0] += n
-                        total[k, 1] += 1
+                words = b.column(0).cast(pa.large_binary())
+                other = pc.is_null(pc.index_in(words, known)).to_numpy(zero_copy_only=False)
+                k = tail_classes(words)[other] - gru.VOCAB
+                np.add.at(total[:, 0], k, b.column(1).to_numpy(zero_copy_only=False)[other])
+                total[:, 1] += np.bincount(k, minlength=gru.TAILS)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(gru.TAILS, dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["k", "n", "v"])
 
         sums = np.zeros((gru.TAILS, 2))
@@ -140,9 +160,10 @@ class Reader:
     """Turns texts into symbols on a worker."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.place = {w: i for i, w in enumerate(vocabulary.words)}
-        symbol = [i if i < gru.VOCAB else tail_class(w) for i, w in enumerate(vocabulary.words)]
-        self.symbol = np.array([*symbol, 0], dtype=np.int16)
+        self.words = pa.array(vocabulary.words, pa.large_binary())
+        self.symbol = tail_classes(self.words)
+        self.symbol[: gru.VOCAB] = np.arange(min(gru.VOCAB, len(self.words)))
+        self.symbol = np.append(self.symbol, np.int16(0))
         self.base = np.append(np.log10(vocabulary.counts + SMOOTH), 0.0)
         within = self.base.copy()
         within[: gru.VOCAB] = 0.0
@@ -155,19 +176,19 @@ class Reader:
         """The symbols of each text, then for all texts together (ends included) where each text's tokens begin, their places in
         the table (-1 - k for the k-th of the other words), and the other words."""
         words, at = words_of(column)
-        known = [*words.dictionary.to_pylist(), b""]  # the last one ends a text
-        get = self.place.get
-        place = np.array([get(w, -1) for w in known], dtype=np.int64)
+        known = pa.concat_arrays([words.dictionary, pa.array([b""], pa.large_binary())])  # the last one ends a text
+        place = pc.fill_null(pc.index_in(known, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         other = np.flatnonzero(place < 0)
+        others = known.take(pa.array(other))
         symbol = self.symbol[place]
-        symbol[other] = [tail_class(known[i]) for i in other.tolist()]
+        symbol[other] = tail_classes(others)
         place[other] = -1 - np.arange(len(other))
         starts = at + np.arange(len(at))
+        index = np.full(starts[-1], len(known) - 1)
         inner = np.ones(starts[-1], dtype=bool)
         inner[starts[1:] - 1] = False
-        index = np.full(len(inner), len(known) - 1)
         index[inner] = words.indices.to_numpy()
-        return np.split(symbol[index], starts[1:-1]), starts, place[index], pa.array([known[i] for i in other.tolist()], pa.binary())
+        return np.split(symbol[index], starts[1:-1]), starts, place[index], others
 
 
 def trained(learn: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -182,7 +203,8 @@ def trained(learn: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> d
         def run(batches: Iterator[pa.RecordBatch], now: dict = now) -> Iterator[pa.RecordBatch]:
             reader, held, total = vocabulary.reader(), now, 0
             for batch in pieces(batches, limit=SLICE):
-                held, _, n = gru.train(held, reader.read(batch.column(0))[0])
+                texts = [t for part in pieces(iter([batch]), limit=READ) for t in reader.read(part.column(0))[0]]
+                held, _, n = gru.train(held, texts)
                 total += n
             if total:
                 summed = gru.pack(held) * total
@@ -206,7 +228,7 @@ def _rare(places: np.ndarray, starts: np.ndarray, others: pa.Array) -> tuple[pa.
     pairs, times = np.unique(text[own] * max(len(others), 1) + (-1 - places[own]), return_counts=True)
     text, word = np.divmod(pairs, max(len(others), 1))
     at = pa.array(np.searchsorted(text, np.arange(len(starts))).astype(np.int32))
-    return pa.ListArray.from_arrays(at, others.take(pa.array(word))), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))
+    return pa.ListArray.from_arrays(at, others.take(pa.array(word)).cast(pa.binary())), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -219,22 +241,36 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, scorer = vocabulary.reader(), gru.Scorer(weights)
-        for batch in pieces(batches, limit=SLICE):
+        held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        texts: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            score, at = scorer.log10(texts), 0
+            for rows, inner in held:
+                yield rows.append_column("score", pa.array(score[at : at + len(inner)] + inner)).select(names)
+                at += len(inner)
+            held.clear()
+            texts.clear()
+
+        for batch in pieces(batches, limit=READ):
             symbols, starts, places, others = reader.read(batch.column(1))
             tokens = np.diff(starts)
             place = np.maximum(places, -1)  # all other words share the last entry, which is zero
             per_text = lambda values: np.add.reduceat(values, starts[:-1])
             base = per_text(reader.base[place]) - tokens * vocabulary.spread
             known = per_text((places >= 0).astype(np.int64))
-            tail = np.array([vocabulary.tail_spread[tail_class(w) - gru.VOCAB] for w in others.to_pylist()] + [0.0])
+            tail = np.append(vocabulary.tail_spread[tail_classes(others) - gru.VOCAB], 0.0)
             inner = per_text(reader.within[place] - tail[np.where(places < 0, -1 - places, -1)])
             rare, times = _rare(places, starts, others)
-            score = scorer.log10(symbols) + inner
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare, times],
-                names=["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"],
-            )
-
+            ids = batch.column(0).take(pa.array(np.arange(batch.num_rows)))  # a copy, so that the batch's texts can go
+            values = [ids, pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), rare, times]
+            held.append((pa.RecordBatch.from_arrays(values, names=[x for x in names if x != "score"]), inner))
+            texts += symbols
+            if sum(len(t) for t in texts) >= GROUP:
+                yield from out()
+        yield from out()
+
+    names = ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"]
     schema = "doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
     rows = stored(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

@@ -539,3 +539,30 @@ def test_lm_words_of_slices(spark):
     counts = Counter(w for x in expected for w in [*x, b""])
     rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     assert {bytes(r.word): r.n for r in lm.count_words(rows).collect()} == counts
+
+
+def test_lm_reader_and_groups(spark, monkeypatch):
+    """Symbols, places and tail classes equal a plain walk over the words; texts scored in small groups score as in one."""
+    import pyarrow as pa
+
+    some = [b"", b"x", b"xy", "é".encode(), b"\xff", b"abc\x00", b"zz"]
+    assert lm.tail_classes(pa.array(some, pa.large_binary()).slice(1)).tolist() == [lm.tail_class(x) for x in some[1:]]
+    assert lm.tail_classes(pa.array([], pa.large_binary())).tolist() == [] and lm.tail_classes(pa.array([b""], pa.large_binary())).tolist() == [lm.tail_class(b"")]
+    rows = [(i, " ".join(words(20 + i % 90, i))) for i in range(400)] + [(1000 + i, t) for i, t in enumerate(["", None, "only once", " x "])]
+    monkeypatch.setattr(lm, "KNOWN", 600)
+    seen, train = {}, lm.trained
+    monkeypatch.setattr(lm, "trained", lambda learn, v: seen.setdefault("w", train(learn, seen.setdefault("v", v))))
+    whole = {r.doc_id: r.score for r in lm.score_documents(documents(spark, rows)).collect()}
+    monkeypatch.setattr(lm, "trained", lambda learn, v: seen["w"])
+    monkeypatch.setattr(lm, "READ", 2000)
+    monkeypatch.setattr(lm, "GROUP", 3000)
+    parts = {r.doc_id: r.score for r in lm.score_documents(documents(spark, rows)).collect()}
+    assert whole.keys() == parts.keys() and all(math.isclose(whole[i], parts[i], rel_tol=1e-4) for i in whole)
+    place = {x: i for i, x in enumerate(seen["v"].words)}
+    symbols, starts, places, others = seen["v"].reader().read(pa.array([t for _, t in rows]))
+    names = others.to_pylist()
+    for k, (_, t) in enumerate(rows):
+        tokens = [*(x.encode() for x in WORD.findall((t or "").translate(LOW))), b""]
+        own = places[starts[k] : starts[k + 1]].tolist()
+        assert [names[-1 - p] if p < 0 else seen["v"].words[p] for p in own] == tokens and all((p < 0) == (x not in place) for p, x in zip(own, tokens))
+        assert symbols[k].tolist() == [place[x] if place.get(x, gru.VOCAB) < gru.VOCAB else lm.tail_class(x) for x in tokens]
